@@ -7,6 +7,7 @@ import xml.etree.ElementTree as Tree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lexgrid.functions import text as T
 
@@ -20,7 +21,7 @@ def strip_breaks(text: Column | str) -> Column:
     return F.regexp_replace(text, r"<br\s*/?>", " ")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def well_formed(text: pd.Series) -> pd.Series:
     """Whether a text is XML: xpath would end the job on one that is not."""
 
