@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import staged, table
+from lexgrid.llm.shared import table
 from lexgrid.llm.textscan import Words, scan_words
 
 WINDOW = 20
@@ -116,6 +116,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, doc, start, rid, more): the windows around shared anchors, one row per word sequence of a piece."""
     for batch in batches:
+        batch = batch.filter(batch.column("mine"))
         ids, rids = np.asarray(batch.column("doc")), np.asarray(batch.column("rid"))
         lists = batch.column("anchors")
         for words in scan_words(batch.column("text"), 4 << 20):
@@ -228,12 +229,13 @@ def deduplicated(documents: DataFrame, texts: bool = True) -> DataFrame:
     shared = rows.repartition("a").sortWithinPartitions("a", "rid").mapInArrow(_shared_anchors, "rid bigint, a bigint")
     first = base.groupBy("rid", "check").agg(F.min("doc").alias("first"))
     hits = shared.groupBy("rid").agg(F.collect_set("a").alias("anchors"))
-    found = base.join(first.join(hits, "rid"), ["rid", "check"]).where(F.col("doc") == F.col("first"))
-    windows = found.select("doc", "rid", "text", "anchors").mapInArrow(_window_rows, "h1 bigint, h2 bigint, doc bigint, start int, rid bigint, more binary")
+    found = base.join(first.join(hits, "rid"), ["rid", "check"]).withColumn("mine", F.col("doc") == F.col("first"))
+    # all columns go along, and copies go in the worker, so that this join and the last one read the texts from one shuffle
+    windows = found.select("doc_id", "check", "doc", "rid", "text", "anchors", "mine").mapInArrow(_window_rows, "h1 bigint, h2 bigint, doc bigint, start int, rid bigint, more binary")
     later = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start").mapInArrow(_later_windows, "rid bigint, start int")
-    removed = staged(later.groupBy("rid").agg(F.collect_set("start").alias("removed")), "windows")
+    removed = later.groupBy("rid").agg(F.collect_set("start").alias("removed"))
     verdict = first.join(removed, "rid", "left")
-    done = base.join(verdict, ["rid", "check"]).select("doc_id", "text", "removed", (F.col("doc") != F.col("first")).alias("copy"))
+    done = base.join(verdict, ["rid", "check"]).select("doc_id", "check", "doc", "rid", "text", "removed", (F.col("doc") != F.col("first")).alias("copy"))
     return done.mapInArrow(_outcome(texts), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
