@@ -43,8 +43,10 @@ SHINGLE = 5
 PERCENT = 80
 EPSILON = 1 - PERCENT / 100
 CROWDED = 256
-REGION = 1024
+REGION = 2048
 SMALL = 96
+#: So few memberships are sent to all tasks; more are shuffled.
+BROADCAST_ROWS = 5000
 #: Bytes of a shingle's hash that sets are compared by.
 KEPT_BYTES = 6
 _FOLD = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), dtype=np.uint8)
@@ -72,12 +74,18 @@ def prefix(n: np.ndarray) -> np.ndarray:
 
 
 def allowance(n: np.ndarray) -> np.ndarray:
-    """Crowded cells that a set of n may leave: below the cells shared with any linked set, which has 0.8 n members or more."""
+    """Cells that may go of those that a set of n shares with a linked one: 1 + max(allowance) or more are shared.
+
+    A third of it is for crowded cells, a third for the cells that each of the
+    two sets leaves on its own.
+    """
     return n // 25
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        _, once = np.unique(np.asarray(batch.column("rid")), return_index=True)
+        batch = batch.take(pa.array(np.sort(once)))
         rids = np.asarray(batch.column("rid"))
         for words in scan_words(batch.column("text"), 2 << 20):
             values, bounds = shingles(words)
@@ -302,35 +310,52 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def _joined(members: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
-    """Joins the regions of members (rid, region); texts has rid and text, one row each."""
-    size = members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("center"))
+#: Gives (rid, text, regions), one row for each rid, from (rid, regions).
+Attach = Callable[[DataFrame], DataFrame]
+
+
+def _joined(members: DataFrame, attach: Attach, sets: Sets) -> DataFrame:
+    """Joins the regions of members (rid, region)."""
+    size = members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("center")).where("n > 1")
     dealt = members.join(size, "region").withColumn("salts", F.ceil(F.col("n") / REGION).cast("int"))
     salts = F.when(F.col("rid") == F.col("center"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int")))
     dealt = dealt.withColumn("salt", F.explode(salts))
     each = dealt.groupBy("rid").agg(F.collect_list(F.struct("region", "salt", "salts", "center")).alias("regions"))
-    shipped = texts.join(each, "rid").mapInArrow(_set_rows(sets), "region bigint, salt int, salts int, center bigint, rid bigint, items binary")
+    if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        each = F.broadcast(each)
+    shipped = attach(each).mapInArrow(_set_rows(sets), "region bigint, salt int, salts int, center bigint, rid bigint, items binary")
     return shipped.repartition("region", "salt").sortWithinPartitions("region", "salt", "rid").mapInArrow(_region_rows, "region bigint, a bigint, b bigint, distance double")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(a, b): enough links to connect every component of texts (rid, text; one row for each rid)."""
+def links(texts: DataFrame, attach: Attach) -> DataFrame:
+    """(a, b): enough links to connect every component of texts (rid, text)."""
     cells = texts.mapInArrow(_cell_rows, "cell bigint, rid bigint, room int")
     met = cells.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(_members, "rid bigint, pivot bigint, crowded boolean, room int")
-    regions = met.groupBy("rid").agg(
-        F.collect_set(F.when(~F.col("crowded"), F.col("pivot"))).alias("open"), F.collect_set(F.when(F.col("crowded"), F.col("pivot"))).alias("shut"),
-        F.count_if("crowded").alias("k"), F.count("*").alias("met"), F.max("room").alias("room"),
+    by_pivot = met.groupBy("rid", "pivot", "crowded").agg(F.count("*").alias("k"), F.max("room").alias("room"))
+    own = F.struct("k", "pivot", "crowded")
+    regions = by_pivot.groupBy("rid").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("crowded"), own))).alias("open"), F.collect_list(F.when(F.col("crowded"), own)).alias("shut"),
+        F.sum("k").alias("met"), F.max("room").alias("room"),
     ).where(F.col("met") > F.col("room"))
-    chosen = F.array_distinct(F.concat("open", F.when(F.col("k") > F.col("room"), F.col("shut")).otherwise(F.array().cast("array<bigint>"))))
-    return region_links(regions.select("rid", F.explode(chosen).alias("region")), texts, word_sets)
-
-
-def region_links(members: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
+    third = F.floor(F.col("room") / 3)
+    total = lambda cells: F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, x: s + x["k"])
+    # the least regions go while their cells come to a third of the allowance
+    tried = F.aggregate(
+        "open", F.struct(F.lit(0).cast("bigint").alias("cells"), F.array().cast("array<bigint>").alias("kept")),
+        lambda s, x: F.when(s["cells"] + x["k"] <= third, F.struct((s["cells"] + x["k"]).alias("cells"), s["kept"].alias("kept"))).otherwise(F.struct(s["cells"].alias("cells"), F.array_append(s["kept"], x["pivot"]).alias("kept"))),
+        lambda s: s["kept"],
+    )
+    shut = F.when(total(F.col("shut")) > third, F.transform("shut", lambda x: x["pivot"])).otherwise(F.array().cast("array<bigint>"))
+    chosen = F.array_distinct(F.concat(tried, shut))
+    return region_links(regions.select("rid", F.explode(chosen).alias("region")), attach, word_sets)
+
+
+def region_links(members: DataFrame, attach: Attach, sets: Sets) -> DataFrame:
     """(a, b): links that connect all members (rid, region) that links inside the regions connect."""
     members = staged(members, "members")
     out = None
     while True:
-        got = staged(_joined(members, texts, sets), "links")
+        got = staged(_joined(members, attach, sets), "links")
         near = got.where(F.col("distance").isNull() | (F.col("distance") <= EPSILON)).select("a", "b")
         out = near if out is None else out.unionByName(near)
         far = got.where(F.col("distance") > EPSILON).groupBy("region").agg(F.min("distance").alias("least"), F.min("b").alias("next"))
@@ -351,9 +376,14 @@ def classified(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of documents (doc_id, text)."""
     base = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
     first = base.groupBy("rid").agg(F.min("doc_id").alias("first"))
-    texts = base.join(first, ["rid"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).select("rid", "text")
+
+    def attach(each: DataFrame) -> DataFrame:
+        """The sets' texts: of equal texts one copy."""
+        found = base.join(each, "rid").join(first.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).where(F.col("doc_id").eqNullSafe(F.col("first")))
+        return found.select("rid", "text", "regions")
+
     sizes = base.mapInArrow(_set_sizes, "doc_id bigint, rid bigint, n_shingles bigint")
-    found = components(links(base.select("rid", "text")))
+    found = components(links(base.select("rid", "text"), attach))
     named = found.join(first, found["node"] == first["rid"]).select("rid", "component", "first")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("rid", "least")
