@@ -33,13 +33,16 @@ def staged(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a staged table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+        deleted(spark, file.rsplit("/", 1)[0])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

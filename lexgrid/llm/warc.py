@@ -1,9 +1,10 @@
 """WARC archives and revisit resolution.
 
-Archives are written by Spark's text writer, one record per line ended by the
-two line breaks that close a WARC record, and committed like any table, so a
-lost executor leaves no half-written archive.  They are read back by their
-Content-Length, whatever a payload contains.
+Archives are gzipped files of Spark's text writer, one record per line ended by
+the two line breaks that close a WARC record, and committed like any table, so
+a lost executor leaves no half-written archive.  A file is one gzip member; its
+records' offsets count the bytes before compression.  They are read back by
+their Content-Length, whatever a payload contains.
 
 Records with equal payloads (SHA-256) of at least SHORTEST bytes keep one
 response, that of the smallest page id; ties between repeated rows fall to the
@@ -14,6 +15,7 @@ null url leaves out its header.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import fresh_path, table
+from lexgrid.llm.shared import deleted, fresh_path, table
 
 #: Payloads of fewer bytes are never revisits.
 SHORTEST = 100
@@ -61,11 +63,11 @@ def write_archives(records: DataFrame, path: str, date: str | None = None) -> No
         F.when(revisit, F.concat(_header("WARC-Profile", F.lit(_PROFILE)), _header("WARC-Refers-To", _urn(F.col("refers_to"), "record")), _header("X-Refers-To-Page", F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", F.octet_length(block)), F.lit("\r\n"), block,
     )
-    records.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
-    """(headers, offset, payload) of each record of an archive."""
+    """(headers, offset, payload) of each record of an archive, unzipped."""
     at = 0
     while at < len(content):
         if content[at : at + 5] != b"WARC/":
@@ -99,7 +101,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
                 def flushed() -> pa.RecordBatch:
                     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-                for h, at, body in parse_archive(content.as_py()):
+                for h, at, body in parse_archive(gzip.decompress(content.as_py())):
                     whole = h["WARC-Type"] == "response"
                     number = lambda k: int(h[k]) if k in h else None
                     digest = hashlib.sha256(body).hexdigest() if whole else h["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -155,6 +157,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, small = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
     archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"), raw)
     deduplicated(spark, raw, small)
+    deleted(spark, raw)
     return read_archives(spark, small).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
