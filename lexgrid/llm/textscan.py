@@ -18,6 +18,8 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _MASK = (1 << 64) - 1
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 18
 _BYTE_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORD_BASE = (0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
 #: Seeds of the random value given to each byte, one per hash lane.
@@ -109,11 +111,23 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span stands."""
-    up, down = _BYTE_POWERS[lane].upto(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[lane][data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    """A 64-bit hash of each byte span, the same wherever the span stands; starts ascend.
+
+    Goes through the bytes in blocks, so that what it holds beside the result
+    grows with the longest span only.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a == b:
+            continue
+        low, high = int(starts[a]), int(ends[a:b].max())
+        up, down = _BYTE_POWERS[lane].upto(high - low + 1)
+        prefix = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUES[lane][data[low:high]] * up[: high - low], out=prefix[1:])
+        begin = starts[a:b] - low
+        out[a:b] = mix((prefix[ends[a:b] - low] - prefix[begin]) * down[begin])
+    return out
 
 
 def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
