@@ -16,6 +16,9 @@ passage is never held in memory, and repeats inside one piece of input are
 folded into one row before the shuffle.  Equal texts are compared once: a later
 copy loses all its windows.
 
+A text is known by the id of its first document while it is the only text with
+that id, and by its tag, a hash, beside the id otherwise.
+
 Nulls: a null text has no words; rows without an id come after all others.
 Rows with the same id are one document: the same position in two of them is
 not earlier in either.  Other columns are ignored.
@@ -38,6 +41,8 @@ WINDOW = 20
 ANCHOR = 8
 PERIOD = 13
 COVER = (0, 1, 3, 9)
+#: Bits of an anchor's hash that are shuffled; windows are compared by all their words, so a chance match costs time only.
+ANCHOR_BITS = np.uint64((1 << 64) - (1 << 16))
 LAST_ID = (1 << 63) - 1
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
@@ -48,7 +53,7 @@ def anchors(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     rows = words.rows()[at]
     place = at - words.bounds[rows]
     keep = _COVERED[place % PERIOD] & (words.counts()[rows] >= WINDOW)
-    return rows[keep], place[keep], found[keep].view(np.int64)
+    return rows[keep], place[keep], (found[keep] & ANCHOR_BITS).view(np.int64)
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -114,10 +119,10 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc, start, rid, more): the windows around shared anchors, one row per word sequence of a piece."""
+    """(h1, h2, doc, start, tag, more): the windows around shared anchors, one row per word sequence of a piece."""
     for batch in batches:
         batch = batch.filter(batch.column("mine"))
-        ids, rids = np.asarray(batch.column("doc")), np.asarray(batch.column("rid"))
+        ids, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
         lists = batch.column("anchors")
         for words in scan_words(batch.column("text"), 4 << 20):
             one = words.hashes()
@@ -147,36 +152,37 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = wanted[at]
             at, h1, h2 = at[keep], h1[keep].view(np.int64), h2[keep].view(np.int64)
             rows = words.rows()[at]
-            begin, doc, rid = at - words.bounds[rows], ids[words.first_row + rows], rids[words.first_row + rows]
+            begin, doc, tag = at - words.bounds[rows], ids[words.first_row + rows], tags[words.first_row + rows]
             order = np.lexsort((begin, doc, h2, h1))
-            h1, h2, doc, begin, rid = h1[order], h2[order], doc[order], begin[order], rid[order]
-            first, more = _folded((h1, h2), [rid, begin, doc])
+            h1, h2, doc, begin, tag = h1[order], h2[order], doc[order], begin[order], tag[order]
+            first, more = _folded((h1, h2), [tag, begin, doc])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[first]), pa.array(h2[first]), pa.array(doc[first]), pa.array(begin[first].astype(np.int32)), pa.array(rid[first]), pa.array(more, pa.binary())],
-                names=["h1", "h2", "doc", "start", "rid", "more"],
+                [pa.array(h1[first]), pa.array(h2[first]), pa.array(doc[first]), pa.array(begin[first].astype(np.int32)), pa.array(tag[first]), pa.array(more, pa.binary())],
+                names=["h1", "h2", "doc", "start", "tag", "more"],
             )
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, start) of the windows that are not the first of their sequence, from rows sorted by h1, h2, doc, start."""
+    """(doc, tag, start) of the windows that are not the first of their sequence, from rows sorted by h1, h2, doc, start."""
     last: tuple[int, int, int, int] | None = None  # hash and place of the first window of the present group
     for batch in batches:
         if not len(batch):
             continue
-        h1, h2, doc, start, rid = (np.asarray(batch.column(c)).astype(np.int64) for c in ("h1", "h2", "doc", "start", "rid"))
+        h1, h2, doc, start, tag = (np.asarray(batch.column(c)).astype(np.int64) for c in ("h1", "h2", "doc", "start", "tag"))
         begins = _group_starts(h1, h2)
         first = np.repeat(begins, np.diff(np.append(begins, len(h1))))
         fd, fs = doc[first], start[first]
         if last is not None and (h1[0], h2[0]) == last[:2]:
             fd[first == 0], fs[first == 0] = last[2], last[3]
         later = (doc != fd) | (start != fs)
-        out = [(rid[later], start[later])]
+        out = [(doc[later], tag[later], start[later])]
         more = batch.column("more")
         for i in np.flatnonzero(np.asarray(more.is_valid().cast(pa.int8()))):
-            r, s, d = np.frombuffer(more[int(i)].as_py(), dtype=np.int64).reshape(-1, 3).T
+            t, s, d = np.frombuffer(more[int(i)].as_py(), dtype=np.int64).reshape(-1, 3).T
             other = (d != fd[i]) | (s != fs[i])
-            out.append((r[other], s[other]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]), pa.int64()).cast(t) for k, t in ((0, pa.int64()), (1, pa.int32()))], names=["rid", "start"])
+            out.append((d[other], t[other], s[other]))
+        doc_, tag_, start_ = (pa.array(np.concatenate(c), pa.int64()) for c in zip(*out))
+        yield pa.RecordBatch.from_arrays([doc_, tag_, start_.cast(pa.int32())], names=["doc", "tag", "start"])
         last = (int(h1[-1]), int(h2[-1]), int(fd[-1]), int(fs[-1]))
 
 
@@ -228,13 +234,15 @@ def deduplicated(documents: DataFrame, texts: bool = True) -> DataFrame:
     rows = base.select("text", "rid").mapInArrow(_anchor_rows, "a bigint, rid bigint, twice boolean, more binary")
     shared = rows.repartition("a").sortWithinPartitions("a", "rid").mapInArrow(_shared_anchors, "rid bigint, a bigint")
     first = base.groupBy("rid", "check").agg(F.min("doc").alias("first"))
+    several = first.groupBy("first").agg((F.count("*") > 1).alias("several"))
+    first = first.join(several, "first").select("rid", "check", "first", F.when(F.col("several"), F.col("rid")).otherwise(0).alias("tag"))
     hits = shared.groupBy("rid").agg(F.collect_set("a").alias("anchors"))
     found = base.join(first.join(hits, "rid"), ["rid", "check"]).withColumn("mine", F.col("doc") == F.col("first"))
     # all columns go along, and copies go in the worker, so that this join and the last one read the texts from one shuffle
-    windows = found.select("doc_id", "check", "doc", "rid", "text", "anchors", "mine").mapInArrow(_window_rows, "h1 bigint, h2 bigint, doc bigint, start int, rid bigint, more binary")
-    later = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start").mapInArrow(_later_windows, "rid bigint, start int")
-    removed = later.groupBy("rid").agg(F.collect_set("start").alias("removed"))
-    verdict = first.join(removed, "rid", "left")
+    windows = found.select("doc_id", "check", "doc", "rid", "text", "tag", "anchors", "mine").mapInArrow(_window_rows, "h1 bigint, h2 bigint, doc bigint, start int, tag bigint, more binary")
+    later = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start").mapInArrow(_later_windows, "doc bigint, tag bigint, start int")
+    removed = later.groupBy(F.col("doc").alias("first"), "tag").agg(F.collect_set("start").alias("removed"))
+    verdict = first.join(removed, ["first", "tag"], "left")
     done = base.join(verdict, ["rid", "check"]).select("doc_id", "check", "doc", "rid", "text", "removed", (F.col("doc") != F.col("first")).alias("copy"))
     return done.mapInArrow(_outcome(texts), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
