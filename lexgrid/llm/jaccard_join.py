@@ -372,8 +372,8 @@ def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64())], names=["doc_id", "rid", "n_shingles"])
 
 
-def classified(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of documents (doc_id, text)."""
+def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text, rid) of documents, (rid, first): each text's smallest id, and (node, component) of the linked texts."""
     base = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
     first = base.groupBy("rid").agg(F.min("doc_id").alias("first"))
 
@@ -382,8 +382,13 @@ def classified(documents: DataFrame) -> DataFrame:
         found = base.join(each, "rid").join(first.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).where(F.col("doc_id").eqNullSafe(F.col("first")))
         return found.select("rid", "text", "regions")
 
+    return base, first, components(links(base.select("rid", "text"), attach))
+
+
+def classified(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of documents (doc_id, text)."""
+    base, first, found = _components(documents)
     sizes = base.mapInArrow(_set_sizes, "doc_id bigint, rid bigint, n_shingles bigint")
-    found = components(links(base.select("rid", "text"), attach))
     named = found.join(first, found["node"] == first["rid"]).select("rid", "component", "first")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("rid", "least")
@@ -392,6 +397,14 @@ def classified(documents: DataFrame) -> DataFrame:
     return sizes.join(named, "rid").select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def survivors(documents: DataFrame) -> DataFrame:
+    """(doc_id, rid): one row for each group of equal or linked texts that hold a word, with the smallest id, none last, then the smallest rid."""
+    _, first, found = _components(documents)
+    named = first.join(found, first["rid"] == found["node"], "left").select(F.coalesce("component", "rid").alias("component"), F.struct(F.col("first").isNull().alias("none"), "first", "rid").alias("own"))
+    least = named.groupBy("component").agg(F.min("own").alias("own"))
+    return least.select(F.col("own.first").alias("doc_id"), "own.rid")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"))
 

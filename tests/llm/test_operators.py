@@ -207,3 +207,17 @@ def test_pipeline(spark, small_dir):
     assert decontamination.leaks(docs, spark.read.parquet(f"{small_dir}/benchmark.parquet")).count() == 0
     assert len({*components([shingles(r.text) for r in docs.collect() if shingles(r.text)])}) == sum(bool(shingles(r.text)) for r in docs.collect())
     assert quality_rules.passing(docs).count() <= docs.count() and substring_dedup.deduplicated(docs).count() == docs.count()
+
+
+def test_pipeline_near_duplicates_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    near = {k: t.replace(f"{k}59", "other") for k, t in text.items()}
+    rows = [(1, text["a"]), (2, near["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (None, text["a"]), (None, text["e"]), (None, text["e"]), (None, near["e"]), (4, text["b"]), (5, " \n"), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    e = [g for g in got if g[0] is None and g[1]]
+    assert len(e) == 1 and e[0][1] in (text["e"], near["e"])
+    want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (5, " \n"), (5, ""), (None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want + e))
