@@ -6,8 +6,10 @@ one piece more than that, so any passage within the budget holds one piece
 unchanged.  An automaton finds the pieces, and Myers' bit-parallel algorithm
 verifies the places that they point at.
 
-Items shorter than SHORTEST characters after folding are no evidence and match
-nothing; a null or empty text has no hit.  Repeated rows and items are judged
+Items shorter than SHORTEST characters after folding have no error budget and
+count only at word edges: a letter or digit at an end of the item has none
+beside it in the text.  An item without characters matches nothing, and a null
+or empty text has no hit.  Repeated rows and items are judged
 one by one; rows without an id are judged too.
 """
 
@@ -64,9 +66,15 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+def at_edges(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends inside a word."""
+    inner = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inner(a) and not inner(b)
+
+
 class Matcher:
     def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
-        self.items = [(i, f, int(ERROR_RATE * len(f))) for i, t in items if len(f := folded(t)) >= SHORTEST]
+        self.items = [(i, f, int(ERROR_RATE * len(f)) if len(f) >= SHORTEST else 0) for i, t in items if (f := folded(t))]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, most) in enumerate(self.items):
             cuts = [len(text) * p // (most + 1) for p in range(most + 2)]
@@ -91,6 +99,10 @@ class Matcher:
         for k, where in starts.items():
             item, pattern, most = self.items[k]
             best: tuple[int, int] | None = None
+            if len(pattern) < SHORTEST:
+                ends = [a + len(pattern) for a in sorted(where) if at_edges(text, a, a + len(pattern))]
+                out += [(item, 0, 0, b) for b in ends[:1]]
+                continue
             for a, b in merged(sorted(where), most, len(pattern)):
                 got = myers(pattern, text[max(0, a) : b], most)
                 if got and (best is None or got[0] < best[0]):
@@ -120,7 +132,7 @@ def _matcher(items: tuple[tuple[int, str], ...]) -> Matcher:
 
 def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[tuple[tuple[int, str], ...]]:
     """The items, in blocks of about BLOCK_CHARACTERS; a block is all that the driver holds at once."""
-    items = items.where(F.length(text) >= SHORTEST).select(key, text)
+    items = items.where(F.length(text) > 0).select(key, text)
     total = items.agg(F.sum(F.length(text))).first()[0] or 0
     n = -(-total // BLOCK_CHARACTERS)
     for k in range(n):

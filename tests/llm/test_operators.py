@@ -221,3 +221,12 @@ def test_pipeline_near_duplicates_of_repeated_and_missing_ids(spark):
     assert len(e) == 1 and e[0][1] in (text["e"], near["e"])
     want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (5, " \n"), (5, ""), (None, None)]
     assert sorted(map(repr, got)) == sorted(map(repr, want + e))
+
+
+def test_decontamination_of_short_items(spark):
+    texts = ["Is 2+2  = 4? yes", "so, WHAT IS\nIT?", "what is its", "somewhat is it", "what isn't", "(what is it)", None, "", "  ", "a twenty letter wort xx", "a twenty letter words xx", "_what is it_ or somewhat is it"]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "what is it"), (2, "2+2 = 4?"), (3, " "), (4, ""), (5, None), (6, "twenty letter words xx")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.budget, r.end) for r in decontamination.leaks(d, items).collect())
+    assert got == [(0, 2, 0, 0, 11), (1, 1, 0, 0, 14), (5, 1, 0, 0, 11), (10, 6, 0, 0, 24), (11, 1, 0, 0, 11)]
+    assert {r.doc_id for r in decontamination.clean(d, items).collect()} == {2, 3, 4, 6, 7, 8, 9}
