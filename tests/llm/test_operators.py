@@ -230,3 +230,12 @@ def test_decontamination_of_short_items(spark):
     got = sorted((r.doc_id, r.item_id, r.distance, r.budget, r.end) for r in decontamination.leaks(d, items).collect())
     assert got == [(0, 2, 0, 0, 11), (1, 1, 0, 0, 14), (5, 1, 0, 0, 11), (10, 6, 0, 0, 24), (11, 1, 0, 0, 11)]
     assert {r.doc_id for r in decontamination.clean(d, items).collect()} == {2, 3, 4, 6, 7, 8, 9}
+
+
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    shared_line = "this line stands in both of the texts at the same place"
+    rows = [(None, f"{shared_line}\nfirst text's own"), (None, f"{shared_line}\nanother ending"), (7, "head one\nsome line of seven"), (7, "top two\nsome line of seven"), (8, "twice the same row"), (8, "twice the same row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in line_dedup.deduplicated(docs).collect()]
+    lines = collections.Counter((i, x) for i, t in got for x in t.split("\n"))
+    assert lines == {(i, x): 2 if i == 8 else 1 for i, t in rows for x in t.split("\n")}
