@@ -3,52 +3,46 @@
 A document's set is its distinct SHINGLE-word shingles; documents link at a
 Jaccard distance of at most EPSILON = 0.2.
 
-Almost all documents are at distance 1 from any given document, so the first
-level takes single shingles as pivots: a document belongs to the cells of the
-shingles that come first in hash order, as many as it takes that two linked
-documents share a cell, and some more.  A crowded cell (a common passage) may
-be left out for a document that has so few of them that its links must share
-another cell, and a document that meets others in fewer cells than linked
-documents share has no links.  The least member of a cell is its region's document pivot;
-cells with one pivot make one region.
-
-A region of up to REGION members is joined exactly in one task, recursively:
-document pivots make Voronoi cells, and a member within 2 EPSILON of its
-nearest pivot's distance is replicated to the other cell (triangle
-inequality), until a cell is small enough to compare all its members.  In a
-larger region every member is first compared to one pivot, spread over many
-tasks; members within EPSILON of it are linked, and only those beyond, and
-those inside whose distance leaves room for a link to one beyond, are joined
-again around a new pivot.
+Almost all documents are at distance 1 from any given document, where the
+triangle inequality says nothing.  So a pre-step takes single shingles as
+pivots: a document belongs to the cells of the shingles that come first in hash
+order, as many as it takes that two linked documents share a cell, and some
+more.  The least member of a cell is its region's first document pivot; cells
+with one pivot make one region.  Regions are then joined recursively and
+exactly by document pivots, Voronoi regions and windows (see voronoi.py).
+
+Cells that may be left out.  Let linked sets have a >= b elements, so that b >=
+0.8 a.  A set of n takes extra(n) = n // 20 cells beyond those that make one
+shared cell sure, so the two share 1 + b // 20 cells or more.  A set may leave
+out its crowded cells (more than CROWDED members: a common passage) if they are
+at most a third of allowance(n) = n // 25, and the regions that it meets in the
+fewest cells, up to another third.  Of the shared cells, at most a third of a
+// 25 go as crowded ones, and a third of a // 25 and of b // 25 by the choice
+of either set: at most a // 25 <= b // 20 together, as a / 25 <= b / 20.  So
+one shared cell stays.  For the same reason a set that meets others in no more
+than allowance(n) cells has no link.
 
 Equal texts are one member.  Nulls and texts without words have empty sets and
 link with nothing.  A row without an id takes part, but gives its id to no
-component.  Rows with the same id are linked by their texts alone.
+component.  Rows with the same id are linked by their texts alone.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import components, staged, table
-from lexgrid.llm.textscan import Words, mix, row_sets, scan_words
+from lexgrid.llm.shared import components, removed, table, with_rid
+from lexgrid.llm.textscan import Words, mix, raw, row_sets, scan_words
+from lexgrid.llm.voronoi import PERCENT, Attach, members_of_cells, region_links
 
 SHINGLE = 5
-#: Linked if PERCENT * union <= 100 * intersection.
-PERCENT = 80
-EPSILON = 1 - PERCENT / 100
 CROWDED = 256
-REGION = 2048
-SMALL = 96
-#: So few memberships are sent to all tasks; more are shuffled.
-BROADCAST_ROWS = 5000
-#: Bytes of a shingle's hash that sets are compared by.
-KEPT_BYTES = 6
 _FOLD = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), dtype=np.uint8)
 
 
@@ -73,16 +67,13 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - -(-n * PERCENT // 100) + 1 + extra(n))
 
 
-def allowance(n: np.ndarray) -> np.ndarray:
-    """Cells that may go of those that a set of n shares with a linked one: 1 + max(allowance) or more are shared.
-
-    A third of it is for crowded cells, a third for the cells that each of the
-    two sets leaves on its own.
-    """
-    return n // 25
+def allowance(n: Column) -> Column:
+    """Cells that may go of those that a set of n shares with a linked one: 1 + max(allowance) or more are shared."""
+    return F.floor(n / 25)
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, rid, tag): the cells of each text; tag is the size of its set."""
     for batch in batches:
         _, once = np.unique(np.asarray(batch.column("rid")), return_index=True)
         batch = batch.take(pa.array(np.sort(once)))
@@ -93,250 +84,34 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.repeat(np.arange(words.n_rows), n)
             keep = np.arange(len(values)) - bounds[rows] < prefix(n)[rows]
             rows = rows[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(rids[words.first_row + rows]), pa.array(allowance(n)[rows].astype(np.int32))], names=["cell", "rid", "room"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(rids[words.first_row + rows]), pa.array(n[rows].astype(np.int32))], names=["cell", "rid", "tag"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, pivot, crowded, room) of the members of cells with two texts or more, from rows sorted by cell, rid."""
-    names = ["rid", "pivot", "crowded", "room"]
-    none = np.zeros(0, dtype=np.int64)
-    held = (none, none, none)  # the rows of the last cell, if it isn't crowded yet
-    crowd: tuple[int, int, int] | None = None  # cell, pivot and last rid of a crowded cell that may go on
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, items, regions): sets as bytes, from (rid, text, regions)."""
+    for batch in batches:
+        for words in scan_words(batch.column("text"), 2 << 20):
+            values, bounds = shingles(words)
+            items = pa.Array.from_buffers(pa.large_binary(), words.n_rows, [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+            part = batch.slice(words.first_row, words.n_rows)
+            yield pa.RecordBatch.from_arrays([part.column("rid"), items, part.column("regions")], names=["rid", "items", "regions"])
 
-    def out(rid: np.ndarray, pivot: np.ndarray, crowded: np.ndarray, room: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(pivot), pa.array(crowded), pa.array(room.astype(np.int32))], names=names)
 
-    def closed(cell: np.ndarray, rid: np.ndarray, room: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
-        size = stops - starts
-        of = np.repeat(np.arange(len(starts)), size)
-        keep = size[of] > 1
-        return out(rid[keep], rid[starts][of][keep], (size > CROWDED)[of][keep], room[keep])
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = raw(column)
+    return data.view(np.uint64), offsets // 8
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        cell, rid, room = (np.asarray(batch.column(c)).astype(np.int64) for c in ("cell", "rid", "room"))
-        if crowd is not None:
-            same = cell == crowd[0]
-            fresh = same & (rid != np.concatenate([[crowd[2]], rid[:-1]]))
-            if fresh.any():
-                yield out(rid[fresh], np.full(fresh.sum(), crowd[1]), np.ones(fresh.sum(), dtype=bool), room[fresh])
-            if same.all():
-                crowd = (crowd[0], crowd[1], int(rid[-1]))
-                continue
-            cell, rid, room, crowd = cell[~same], rid[~same], room[~same], None
-        cell, rid, room = (np.concatenate(x) for x in zip(held, (cell, rid, room)))
-        keep = np.ones(len(cell), dtype=bool)
-        keep[1:] = (cell[1:] != cell[:-1]) | (rid[1:] != rid[:-1])
-        cell, rid, room = cell[keep], rid[keep], room[keep]
-        new = np.ones(len(cell), dtype=bool)
-        new[1:] = cell[1:] != cell[:-1]
-        starts = np.flatnonzero(new)
-        last = starts[-1]
-        if len(cell) - last > CROWDED:
-            crowd = (int(cell[last]), int(rid[last]), int(rid[-1]))
-            yield closed(cell, rid, room, starts, np.append(starts[1:], len(cell)))
-            held = (none, none, none)
-        else:
-            yield closed(cell[:last], rid[:last], room[:last], starts[:-1], starts[1:])
-            held = (cell[last:], rid[last:], room[last:])
-    if len(held[0]):
-        yield closed(*held, np.zeros(1, dtype=np.int64), np.array([len(held[0])]))
-
-
-def packed(values: np.ndarray) -> bytes:
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, dtype=np.uint8).reshape(-1, KEPT_BYTES)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, 8 - KEPT_BYTES :] = raw
-    return out.view(">u8").astype(np.int64).ravel()
-
-
-#: Distinct hashes of each row of a text column: (first row, hashes in ascending order, bounds of the rows), piece by piece.
-Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray]]]
-
-
-def word_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for words in scan_words(column, 2 << 20):
-        yield words.first_row, *shingles(words)
-
-
-def _set_rows(sets: Sets):
-    """(region, salt, salts, center, rid, items): a member's set for each of its regions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in batches:
-            rids, lists = batch.column("rid"), batch.column("regions")
-            for first, values, bounds in sets(batch.column("text")):
-                rows = []
-                for r in range(len(bounds) - 1):
-                    items = packed(values[bounds[r] : bounds[r + 1]])
-                    for g in lists[first + r].as_py():
-                        rows.append((g["region"], g["salt"], g["salts"], g["center"], rids[first + r].as_py(), items))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["region", "salt", "salts", "center", "rid", "items"])
-
-    return run
-
-
-def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
-    return 100 * both >= PERCENT * (a + b - both)
-
-
-class Region:
-    """Exact links between the sets of one region, found recursively; only links that join two components are kept."""
-
-    def __init__(self, rids: list[int], sets: list[np.ndarray]) -> None:
-        self.rids, self.sets = rids, sets
-        self.size = np.array([len(s) for s in sets])
-        self.root = list(range(len(rids)))
-        self.links: list[tuple[int, int]] = []
-
-    def _find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
-
-    def _link(self, i: int, j: int) -> None:
-        a, b = self._find(i), self._find(j)
-        if a != b:
-            self.root[b] = a
-            self.links.append((self.rids[i], self.rids[j]))
-
-    def overlaps(self, members: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        """Intersection sizes of members and pivots."""
-        out = np.empty((len(members), len(pivots)), dtype=np.int64)
-        flat = np.concatenate([self.sets[m] for m in members])
-        ends = np.concatenate([[0], np.cumsum(self.size[members])])
-        for k, p in enumerate(pivots):
-            s = self.sets[p]
-            at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-            total = np.concatenate([[0], np.cumsum(s[at] == flat)])
-            out[:, k] = total[ends[1:]] - total[ends[:-1]]
-        return out
-
-    def able(self) -> np.ndarray:
-        """Members that share enough of their set with the rest of the region to have a link."""
-        members = np.arange(len(self.rids))
-        while len(members) > 1:
-            flat = np.concatenate([self.sets[m] for m in members])
-            _, back, seen = np.unique(flat, return_inverse=True, return_counts=True)
-            met = np.concatenate([[0], np.cumsum(seen[back] > 1)])
-            ends = np.concatenate([[0], np.cumsum(self.size[members])])
-            keep = 100 * (met[ends[1:]] - met[ends[:-1]]) >= PERCENT * self.size[members]
-            if keep.all():
-                return members
-            members = members[keep]
-        return members[:0]
-
-    def join(self, members: np.ndarray) -> None:
-        if len(members) <= SMALL:
-            return self._compare(members)
-        pivots = members[np.linspace(0, len(members) - 1, 8).astype(int)]
-        both = self.overlaps(members, pivots)
-        a, b = self.size[members][:, None], self.size[pivots][None, :]
-        for i, k in zip(*np.nonzero(linked(both, a, b))):
-            self._link(int(pivots[k]), int(members[i]))
-        d = 1 - both / (a + b - both)
-        home = d.argmin(axis=1)
-        near = d.min(axis=1)
-        for k in range(len(pivots)):
-            own = home == k
-            if not own.any():
-                continue
-            radius = d[own, k].max()
-            inside = own | ((d[:, k] <= near + 2 * EPSILON + 1e-9) & (d[:, k] <= radius + EPSILON + 1e-9))
-            part = members[inside]
-            if len(part) > 0.7 * len(members):  # these pivots do not part the region
-                self._compare(part)
-            else:
-                self.join(part)
-
-    def _compare(self, members: np.ndarray) -> None:
-        """All members against those whose sizes allow a link, one at a time, unless already in one component."""
-        order = members[np.argsort(self.size[members], kind="stable")]
-        for i in range(len(order) - 1):
-            stop = int(np.searchsorted(self.size[order], self.size[order[i]] * 100 // PERCENT, side="right"))
-            mine = self._find(int(order[i]))
-            rest = np.array([j for j in order[i + 1 : stop] if self._find(int(j)) != mine], dtype=np.int64)
-            if not len(rest):
-                continue
-            both = self.overlaps(rest, order[i : i + 1])[:, 0]
-            for j in rest[linked(both, self.size[order[i]], self.size[rest])]:
-                self._link(int(order[i]), int(j))
-
-
-def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, a, b, distance): links of whole regions, and every member's distance to the pivot of a split region."""
-    names = ["region", "a", "b", "distance"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    now: tuple | None = None
-    rids: list[int] = []
-    sets: list[np.ndarray] = []
-
-    def done() -> list[tuple]:
-        if now is None or len(rids) < 2:
-            return []
-        region, _, salts, center = now
-        if salts > 1:
-            at = rids.index(center)
-            got = Region(rids, sets)
-            both = got.overlaps(np.arange(len(rids)), np.array([at]))[:, 0]
-            union = got.size + got.size[at] - both
-            near = linked(both, got.size, got.size[at])
-            return [(region, center, r, float(1 - x / u) if not ok else float(min(EPSILON, 1 - x / u))) for r, x, u, ok in zip(rids, both, union, near) if r != center]
-        got = Region(rids, sets)
-        got.join(got.able())
-        return [(region, a, b, None) for a, b in got.links]
-
-    rows: list[tuple] = []
-    for batch in batches:
-        for region, salt, salts, center, rid, items in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "salts", "center", "rid", "items"))):
-            if now is None or now[:2] != (region, salt):
-                rows += done()
-                now, rids, sets = (region, salt, salts, center), [], []
-            if not rids or rids[-1] != rid:
-                rids.append(rid)
-                sets.append(unpacked(items))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-            rows = []
-    rows += done()
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-
-#: Gives (rid, text, regions), one row for each rid, from (rid, regions).
-Attach = Callable[[DataFrame], DataFrame]
-
-
-def _joined(members: DataFrame, attach: Attach, sets: Sets) -> DataFrame:
-    """Joins the regions of members (rid, region)."""
-    size = members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("center")).where("n > 1")
-    dealt = members.join(size, "region").withColumn("salts", F.ceil(F.col("n") / REGION).cast("int"))
-    salts = F.when(F.col("rid") == F.col("center"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int")))
-    dealt = dealt.withColumn("salt", F.explode(salts))
-    each = dealt.groupBy("rid").agg(F.collect_list(F.struct("region", "salt", "salts", "center")).alias("regions"))
-    if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        each = F.broadcast(each)
-    shipped = attach(each).mapInArrow(_set_rows(sets), "region bigint, salt int, salts int, center bigint, rid bigint, items binary")
-    return shipped.repartition("region", "salt").sortWithinPartitions("region", "salt", "rid").mapInArrow(_region_rows, "region bigint, a bigint, b bigint, distance double")
-
-
-def links(texts: DataFrame, attach: Attach) -> DataFrame:
-    """(a, b): enough links to connect every component of texts (rid, text)."""
-    cells = texts.mapInArrow(_cell_rows, "cell bigint, rid bigint, room int")
-    met = cells.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(_members, "rid bigint, pivot bigint, crowded boolean, room int")
-    by_pivot = met.groupBy("rid", "pivot", "crowded").agg(F.count("*").alias("k"), F.max("room").alias("room"))
+
+def links(texts: DataFrame, attach: Attach) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): enough links to connect every component of texts (rid, text); and the staged tables behind it."""
+    cells = texts.mapInArrow(_cell_rows, "cell bigint, rid bigint, tag int")
+    met = cells.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(members_of_cells(CROWDED), "rid bigint, pivot bigint, crowded boolean, tag int")
+    by_pivot = met.groupBy("rid", "pivot", "crowded").agg(F.count("*").alias("k"), F.max("tag").alias("n"))
     own = F.struct("k", "pivot", "crowded")
     regions = by_pivot.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.when(~F.col("crowded"), own))).alias("open"), F.collect_list(F.when(F.col("crowded"), own)).alias("shut"),
-        F.sum("k").alias("met"), F.max("room").alias("room"),
-    ).where(F.col("met") > F.col("room"))
+        F.sum("k").alias("met"), F.max("n").alias("n"),
+    ).withColumn("room", allowance(F.col("n"))).where(F.col("met") > F.col("room"))
     third = F.floor(F.col("room") / 3)
     total = lambda cells: F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, x: s + x["k"])
     # the least regions go while their cells come to a third of the allowance
@@ -347,22 +122,7 @@ def links(texts: DataFrame, attach: Attach) -> DataFrame:
     )
     shut = F.when(total(F.col("shut")) > third, F.transform("shut", lambda x: x["pivot"])).otherwise(F.array().cast("array<bigint>"))
     chosen = F.array_distinct(F.concat(tried, shut))
-    return region_links(regions.select("rid", F.explode(chosen).alias("region")), attach, word_sets)
-
-
-def region_links(members: DataFrame, attach: Attach, sets: Sets) -> DataFrame:
-    """(a, b): links that connect all members (rid, region) that links inside the regions connect."""
-    members = staged(members, "members")
-    out = None
-    while True:
-        got = staged(_joined(members, attach, sets), "links")
-        near = got.where(F.col("distance").isNull() | (F.col("distance") <= EPSILON)).select("a", "b")
-        out = near if out is None else out.unionByName(near)
-        far = got.where(F.col("distance") > EPSILON).groupBy("region").agg(F.min("distance").alias("least"), F.min("b").alias("next"))
-        left = got.where(F.col("distance").isNotNull()).join(far, "region").where((F.col("distance") > EPSILON) | (F.col("distance") >= F.col("least") - EPSILON - 1e-9))
-        members = staged(left.select(F.col("b").alias("rid"), "region").distinct(), "members")
-        if members.isEmpty():
-            return out
+    return region_links(regions.select("rid", F.col("n").cast("bigint").alias("n"), F.explode(chosen).alias("region")), attach, unpacked)
 
 
 def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,15 +134,20 @@ def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, text, rid) of documents, (rid, first): each text's smallest id, and (node, component) of the linked texts."""
-    base = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
+    base = with_rid(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     first = base.groupBy("rid").agg(F.min("doc_id").alias("first"))
 
     def attach(each: DataFrame) -> DataFrame:
-        """The sets' texts: of equal texts one copy."""
+        """The sets of the texts: of equal texts one copy."""
         found = base.join(each, "rid").join(first.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).where(F.col("doc_id").eqNullSafe(F.col("first")))
-        return found.select("rid", "text", "regions")
-
-    return base, first, components(links(base.select("rid", "text"), attach))
+        found = found.select("rid", "text", "regions")
+        return found.mapInArrow(_packed, f"rid bigint, items binary, regions {found.schema['regions'].dataType.simpleString()}")
+
+    edges, tables = links(base.select("rid", "text"), attach)
+    found = components(edges)
+    for t in tables:
+        removed(documents.sparkSession, t)
+    return base, first, found
 
 
 def classified(documents: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,23 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), a temporary one is chosen and set."""
+    """The folder of spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a temporary folder of its
+    own; on a cluster that is an error, as executors see no folder of the driver.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lexgrid-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="lexgrid-shared-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexgrid-{kind}-{uuid.uuid4().hex}"
 
 
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's JVM delete a folder when it ends, unless it is gone by then."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def staged(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk."""
+    """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk.
+
+    A table that a result still reads stays until the driver ends.
+    """
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
+    _at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +68,44 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         deleted(spark, file.rsplit("/", 1)[0])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: So many texts of clashing ids are sent to all tasks; more are joined by a shuffle.
+CLASHES = 1000
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def with_rid(documents: DataFrame, text: str = "text", rid: str = "rid") -> DataFrame:
+    """documents with a 64-bit id of each text, different for different texts.
+
+    Ids are hashes.  A second hash finds those that different texts share (some
+    24 are to be expected among 3e10 texts); such texts get an id made of both.
+    """
+    hashed = documents.withColumn(rid, text_hash(text))
+    check = F.xxhash64(F.lit("check"), text)
+    ids = hashed.select(F.col(rid).alias("_clash_id"), check.alias("_check"))
+    clashes = ids.groupBy("_clash_id").agg(F.min("_check").alias("low"), F.max("_check").alias("high")).where("low <> high").select("_clash_id", F.lit(True).alias("_clashes"))
+    n = clashes.limit(CLASHES + 1).count()
+    if n == 0:
+        return hashed
+    joined = hashed.join(F.broadcast(clashes) if n <= CLASHES else clashes, F.col(rid) == F.col("_clash_id"), "left")
+    own = F.when(F.col("_clashes"), F.xxhash64(check, F.col(rid))).otherwise(F.col(rid))
+    return joined.withColumn(rid, own).drop("_clash_id", "_clashes")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

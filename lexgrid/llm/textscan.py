@@ -62,9 +62,15 @@ _BYTE_VALUES = tuple(np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls become empty strings."""
+    return raw(column.cast(pa.large_string()).fill_null(""))
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_binary())
     if len(column) == 0:
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, offsets, data = column.buffers()

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrid.llm import decontamination, jaccard_join, language, line_dedup, quality_classifier, quality_rules, registry, shared, substring_dedup, warc
+from lexgrid.llm import decontamination, jaccard_join, language, line_dedup, quality_classifier, quality_rules, registry, shared, substring_dedup, voronoi, warc
 
 SCHEMA = "doc_id long, text string, rid int, ids string, _m int, cell int"
 P = " ".join(f"word{i}" for i in range(40))
@@ -100,7 +100,7 @@ def edited(rng, words, n):
 
 @pytest.mark.parametrize("region, salted", [(2048, False), (8, True)])
 def test_jaccard_join_by_brute_force(spark, tmp_path, monkeypatch, region, salted):
-    monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(voronoi, "REGION", region)
     rng = random.Random(region)
     base = [f"b{i}" for i in range(120)]
     rows = [(i, edited(rng, base, rng.randrange(4))) for i in range(14)] + [(i, edited(rng, [f"c{i % 7}_{k}" for k in range(60)], rng.randrange(3))) for i in range(30, 60)]
