@@ -139,8 +139,8 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def attach(each: DataFrame) -> DataFrame:
         """The sets of the texts: of equal texts one copy."""
-        found = base.join(each, "rid").join(first.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).where(F.col("doc_id").eqNullSafe(F.col("first")))
-        found = found.select("rid", "text", "regions")
+        one = first.join(each, "rid").withColumnRenamed("rid", "r")
+        found = base.join(one, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("rid", "text", "regions")
         return found.mapInArrow(_packed, f"rid bigint, items binary, regions {found.schema['regions'].dataType.simpleString()}")
 
     edges, tables = links(base.select("rid", "text"), attach)

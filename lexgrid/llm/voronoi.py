@@ -64,9 +64,10 @@ Attach = Callable[[DataFrame], DataFrame]
 #: Sets of a column: (unsigned hashes in ascending order, distinct in each row, bounds of the rows).
 Unpack = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
-_OUT = "kind int, a bigint, b bigint, tag int, label bigint, score double, tries int, before bigint"
-_OUT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
-LINK, CHILD, CELL = 0, 1, 2
+_OUT = "kind int, a bigint, b bigint, tag int, label bigint, score double, tries int, before bigint, cells array<bigint>, items binary"
+_OUT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+#: What a row of _OUT is: a link of a and b; a member a of the new region b; a member a of cells in the region b; the set of a.
+LINK, CHILD, CELL, SET = 0, 1, 2, 3
 
 
 def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -334,7 +335,8 @@ class _Task:
         known, place = np.unique(np.asarray(label.fill_null(0)), return_inverse=True)
         self.label_ids, self.label = known, np.where(np.asarray(label.is_null()), -1, place.reshape(-1))
         self.score = np.asarray(batch.column("score").fill_null(0.0))
-        self.sets = Sets(*unpack(batch.column("items")))
+        self.items = batch.column("items")
+        self.sets = Sets(*unpack(self.items))
         new = np.ones(len(self.rid), dtype=bool)
         new[1:] = (self.region[1:] != self.region[:-1]) | (salt[1:] != salt[:-1])
         self.starts = np.flatnonzero(new)
@@ -353,9 +355,9 @@ class _Task:
             yield from self._pivoted(a, a + n)
 
     @staticmethod
-    def _batch(kind: int, a, b, tag=None, label=None, score=None, tries=None, before=None) -> pa.RecordBatch:
-        full = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
-        columns = [full(np.full(len(a), kind), _OUT_TYPES[0]), *(full(x, t) for x, t in zip((a, b, tag, label, score, tries, before), _OUT_TYPES[1:]))]
+    def _batch(kind: int, a, b=None, tag=None, label=None, score=None, tries=None, before=None, cells=None, items=None) -> pa.RecordBatch:
+        full = lambda x, t: pa.nulls(len(a), t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t)
+        columns = [full(np.full(len(a), kind), _OUT_TYPES[0]), *(full(x, t) for x, t in zip((a, b, tag, label, score, tries, before, cells, items), _OUT_TYPES[1:]))]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OUT.split(", ")])
 
     def _links(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -398,6 +400,7 @@ class _Task:
         if n_pivots == len(size):
             return
         rest = np.arange(n_pivots, len(size))
+        yield self._batch(SET, rid[rest], items=self.items.slice(start + n_pivots, len(rest)))
         region, count, tries = self.region[start], self.count[start], self.tries[start]
         best = by_score[near_enough[rest][:, by_score].argmax(axis=1)]
         own = near_enough[rest].any(axis=1)
@@ -427,7 +430,10 @@ class _Task:
             keep = place < needed(size[e_owner])
             e_rank, e_owner = e_rank[keep], e_owner[keep]
             cell = mix(self.sets.unique[e_rank] ^ mix(np.array([region], dtype=np.int64).view(np.uint64))[0]).view(np.int64)
-            yield self._batch(CELL, rid[e_owner], cell, 2 * np.minimum(size[e_owner], 1 << 29) + ~is_inner[e_owner])
+            heads = np.flatnonzero(np.append(True, e_owner[1:] != e_owner[:-1]))
+            of = e_owner[heads]
+            cells = pa.ListArray.from_arrays(pa.array(np.append(heads, len(cell)), pa.int32()), pa.array(cell))
+            yield self._batch(CELL, rid[of], np.full(len(of), region), 2 * np.minimum(size[of], 1 << 29) + ~is_inner[of], cells=cells)
 
     @staticmethod
     def _clusters(d: np.ndarray, rid: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -457,7 +463,9 @@ def _dealt(members: DataFrame, turn: int, blocks: bool) -> DataFrame:
     dealt = members.select("rid", "region", "tag", "label", "score").join(size, "region")
     bucket = F.pmod(F.xxhash64("rid", "region", F.lit(turn)), F.lit(PIVOTS))
     first = F.struct(F.col("label").isNotNull().alias("met"), (-F.coalesce("score", F.lit(0.0))).alias("score"), F.xxhash64("rid", F.lit(turn)).alias("by"), "rid")
-    pivots = dealt.where("mode = 1").groupBy("region", bucket.alias("bucket")).agg(F.min(first).alias("first")).select("region", F.col("first.rid").alias("rid"), F.lit(True).alias("pivot"))
+    # from all members, so that the minimum is taken before a shuffle: a large region comes to PIVOTS rows a task
+    pivots = members.groupBy("region", bucket.alias("bucket")).agg(F.min(first).alias("first"))
+    pivots = pivots.join(size.where("mode = 1").select("region"), "region").select("region", F.col("first.rid").alias("rid"), F.lit(True).alias("pivot"))
     dealt = dealt.join(pivots, ["region", "rid"], "left")
     one = lambda n: F.pmod(F.xxhash64("rid", F.lit("deal")), n).cast("int")
     n_blocks = 2 * F.col("parts")
@@ -500,15 +508,24 @@ def region_links(members: DataFrame, attach: Attach, unpack: Unpack) -> tuple[Da
         tables.append(got)
         removed(got.sparkSession, members)
         turn += 1
-        children = got.where(F.col("kind") == CHILD).select(F.col("a").alias("rid"), F.col("b").alias("region"), "tag", "label", "score", "tries", "before")
         if got.where(F.col("kind") != LINK).isEmpty():
             break
-        cells = got.where(F.col("kind") == CELL).select(F.col("b").alias("cell"), F.col("a").alias("rid"), "tag")
+        children = got.where(F.col("kind") == CHILD).select(F.col("a").alias("rid"), F.col("b").alias("region"), "tag", "label", "score", "tries", "before")
+        far = got.where(F.col("kind") == CELL).select(F.col("b").alias("region"), F.col("a").alias("rid"), "tag", "cells")
+        cored = far.groupBy("region").agg(F.max(F.col("tag").bitwiseAND(1)).alias("core")).where("core = 1").select("region")
+        cells = far.join(cored, "region").select(F.explode("cells").alias("cell"), "rid", "tag")
         met = cells.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(members_of_cells(REGION), "rid bigint, pivot bigint, crowded boolean, tag int")
         region = F.xxhash64(F.lit("cells"), F.lit(turn), "pivot").alias("region")
         far = met.groupBy("rid", region).agg(F.max("tag").alias("tag")).select("rid", "region", "tag", *fresh)
         members = staged(children.unionByName(far), "members")
+        attach = _held(got)
     links = tables[0]
     for t in tables[1:]:
         links = links.unionByName(t)
     return links.where(F.col("kind") == LINK).select("a", "b"), tables
+
+
+def _held(got: DataFrame) -> Attach:
+    """Sets from the last round's output, which holds those of all members of its large regions."""
+    sets = got.where(F.col("kind") == SET).groupBy(F.col("a").alias("rid")).agg(F.min("items").alias("items"))
+    return lambda each: sets.join(each, "rid")
