@@ -116,7 +116,7 @@ def test_line_dedup_by_brute_force(spark, small_dir):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect())
     lines = [(i, k, folded(x)) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     distinct = list(dict.fromkeys(x for *_, x in lines))
-    roots = dict(zip(distinct, components([{x[a : a + 10] for a in range(max(1, len(x) - 9))} for x in distinct])))
+    roots = dict(zip(distinct, components([{x[a : a + 5] for a in range(max(1, len(x) - 4))} for x in distinct])))
     seen, gone = set(), collections.defaultdict(set)
     for i, k, x in lines:
         if roots[x] in seen:
