@@ -1,7 +1,9 @@
 """Base spans against a plain implementation of the fixed patterns."""
 
 import hashlib
+import random
 import re
+import time
 
 from lexgrid.llm import pii
 
@@ -66,6 +68,38 @@ def test_empty(spark, tmp_path):
 
 
 def test_reliabilities_follow_agreement():
-    patterns = [(0, (1, 1, 0, 1, 1), 1, 900), (0, (-1, -1, 0, 1, -1), 1, 100), (0, (1, 1, 1, 1, 1), 1, 50)]
+    patterns = [(0, (1, 1, 0, 1, 1), (1, 0, 0, 0), 900), (0, (-1, -1, 0, 1, -1), (1, 0, 0, 0), 100), (0, (1, 1, 1, 1, 1), (1, 0, 0, 0), 50)]
     belief = pii.estimated(patterns)
     assert belief[0, (1, 1, 0, 1, 1)] > 0.9 > 0.1 > belief[0, (-1, -1, 0, 1, -1)]
+
+
+def test_base_patterns_by_fuzzing(spark, tmp_path):
+    rng = random.Random(8)
+    parts = ["1", "23", "4111 1111 1111 1111", "5-5", "9", " ", "-", ".", "..", "@", "a", "x.y", "%", "+", "+1", "(", ")", "255", "256", "0", "\n", "é", "_", "  ", "--", "4539578763621486", "a@b.co", "1.2.3.4"]
+    texts = dict(enumerate("".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(3000)))
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(pii.op8_pii(spark, str(tmp_path)).collect(), texts)
+
+
+def test_long_numeric_texts_take_seconds(spark, tmp_path):
+    numbers = " ".join(f"{i:05d}," for i in range(140_000))
+    cards = ", ".join(["4539578763621486"] * 3000) + " 1234567890123456x" * 3000
+    ips = " ".join(f"10.0.{i % 256}.{i % 255}" for i in range(30_000))
+    texts = dict(enumerate([numbers, cards, ips]))
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    rows = pii.op8_pii(spark, str(tmp_path)).collect()
+    took = time.monotonic() - began
+    check(rows, texts)
+    assert took < 240
+
+
+def test_added_spans(spark, tmp_path):
+    """Votes on cards that fail the check and on secrets, and none on what looks like neither."""
+    secret = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    texts = {i: f'the api token = "{secret(i)}" is here' for i in range(40)}
+    texts |= {i: f"plain words and number {i} of them" for i in range(40, 80)}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.n_spans) for r in pii.op8_pii(spark, str(tmp_path)).collect()}
+    assert all(got[i] == (f"secret:{texts[i].index(secret(i))}:{texts[i].index(secret(i)) + 32}", 1) for i in range(40))
+    assert all(got[i] == ("", 0) for i in range(40, 80))
