@@ -48,11 +48,14 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, kind: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk.
 
-    A table that a result still reads stays until the driver ends.
+    A table that a result still reads stays until the driver ends.  The shuffle
+    files behind a staged table are no longer needed; Spark deletes them once
+    the driver's JVM has collected what refers to them, so that is asked for.
     """
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     _at_exit(df.sparkSession, path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,14 +99,15 @@ def with_rid(documents: DataFrame, text: str = "text", rid: str = "rid") -> Data
     """
     hashed = documents.withColumn(rid, text_hash(text))
     check = F.xxhash64(F.lit("check"), text)
-    ids = hashed.select(F.col(rid).alias("_clash_id"), check.alias("_check"))
-    clashes = ids.groupBy("_clash_id").agg(F.min("_check").alias("low"), F.max("_check").alias("high")).where("low <> high").select("_clash_id", F.lit(True).alias("_clashes"))
+    its_id, clashing = free_names(hashed, "clash_id", "clashes")
+    ids = hashed.select(F.col(rid).alias(its_id), check.alias("check"))
+    clashes = ids.groupBy(its_id).agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select(its_id, F.lit(True).alias(clashing))
     n = clashes.limit(CLASHES + 1).count()
     if n == 0:
         return hashed
-    joined = hashed.join(F.broadcast(clashes) if n <= CLASHES else clashes, F.col(rid) == F.col("_clash_id"), "left")
-    own = F.when(F.col("_clashes"), F.xxhash64(check, F.col(rid))).otherwise(F.col(rid))
-    return joined.withColumn(rid, own).drop("_clash_id", "_clashes")
+    joined = hashed.join(F.broadcast(clashes) if n <= CLASHES else clashes, F.col(rid) == F.col(its_id), "left")
+    own = F.when(F.col(clashing), F.xxhash64(check, F.col(rid))).otherwise(F.col(rid))
+    return joined.withColumn(rid, own).drop(its_id, clashing)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
