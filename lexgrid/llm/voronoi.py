@@ -39,6 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ TRIES, ROUNDS = 2, 8
 SMALL, LEAF = 12, 96
 #: Set elements looked up at once.
 CHUNK = 1 << 20
+PART_BYTES = 4 << 20
 _SLACK = 1e-9
 
 #: Gives (rid, items, regions), one row for each rid, from (rid, regions); items holds the set in a form that Unpack reads.
@@ -315,8 +317,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield joined()
 
 
-def _long(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(-1)).astype(np.int64)
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of whole groups in pieces of about PART_BYTES of items, cut between groups."""
+    region, salt = np.asarray(batch.column("region")), np.asarray(batch.column("salt"))
+    new = np.ones(len(batch), dtype=bool)
+    new[1:] = (region[1:] != region[:-1]) | (salt[1:] != salt[:-1])
+    starts = np.flatnonzero(new)
+    before = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column("items"))).astype(np.int64))])
+    piece = before[starts] // PART_BYTES
+    cuts = starts[np.append(True, piece[1:] != piece[:-1])].tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(batch)]):
+        yield batch.slice(a, b - a)
 
 
 class _Task:
@@ -487,7 +498,8 @@ def _joined(members: DataFrame, attach: Attach, unpack: Unpack, turn: int, block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            yield from _Task(batch, unpack).rows()
+            for part in _parts(batch):
+                yield from _Task(part, unpack).rows()
 
     shipped = attach(_dealt(members, turn, blocks)).select("rid", "items", F.explode("regions").alias("x")).select("rid", "items", "x.*")
     return shipped.repartition("region", "salt").sortWithinPartitions("region", "salt", "role", "rid").mapInArrow(run, _OUT)
