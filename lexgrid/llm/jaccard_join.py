@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import components, removed, table, with_rid
+from lexgrid.llm.shared import components, free_names, removed, table, with_rid
 from lexgrid.llm.textscan import Words, mix, raw, row_sets, scan_words
 from lexgrid.llm.voronoi import PERCENT, Attach, members_of_cells, region_links
 
 SHINGLE = 5
 CROWDED = 256
+LAST_ID = (1 << 63) - 1
 _FOLD = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), dtype=np.uint8)
 
 
@@ -170,6 +171,20 @@ def survivors(documents: DataFrame) -> DataFrame:
     return least.select(F.col("own.first").alias("doc_id"), "own.rid")
 
 
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """One row of each group of equal or linked texts, that of the smallest id (none last); other columns stay, whatever their names.
+
+    Texts without words are in no group: their rows all stay.  Of repeated rows
+    of one id and text, any one is taken.
+    """
+    rid, doc = free_names(documents, "rid", "doc")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = survivors(documents.where(worded)).select(F.col("rid").alias(rid), F.coalesce("doc_id", F.lit(LAST_ID)).alias(doc))
+    keyed = with_rid(documents.where(worded), "text", rid).withColumn(doc, F.coalesce("doc_id", F.lit(LAST_ID)))
+    one = keyed.join(kept, [rid, doc]).dropDuplicates([rid, doc])
+    return one.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where(~worded))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"))
 

@@ -3,7 +3,9 @@
 Every measure and verdict is a built-in expression over the row's own text, so
 the operator reads each text once and never shuffles.  A null text counts as
 empty: it has no words and fails the base rule.  Rows are kept as they come,
-repeated rows and null ids included, and other columns are left alone.
+repeated rows and null ids included.  Other columns are left alone, whatever
+their names in passing(); in measured() and judged() a column named like one
+of theirs (_m, _base_failed, _failed) gives way.
 """
 
 from __future__ import annotations
@@ -57,8 +59,9 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
     Three-word windows are compared by a 64-bit hash: the window's hash and
     position are sorted, and a window repeats if a neighbour has its hash.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = documents.withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), 1))
+    names = [c for c in documents.columns if c not in ("_m", "_base_failed", "_failed")]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    step = documents.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), 1))
     n = F.size("_w")
     hashed = F.transform(
         F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")),
@@ -93,7 +96,7 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_upper": F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")),
     }
     step = step.withColumn("_m", F.struct(*[e.cast("long").alias(k) for k, e in measures.items()]))
-    return step.drop("_t", "_w", "_s", "_n", "_p", "_a", "_l")
+    return step.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "_m")
 
 
 def judged(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,10 +110,12 @@ def judged(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 
 def passing(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with their own columns only."""
+    """The documents that no rule rejects, with their own columns only, whatever their names."""
+    names = documents.columns
+    inner = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     # the row number keeps the filter above the projection: pushed below, it would repeat every measure's expression
-    found = judged(documents, text).withColumn("_row", F.monotonically_increasing_id())
-    return found.where((F.size("_failed") == 0) & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    found = judged(inner, f"c{names.index(text)}").withColumn("_row", F.monotonically_increasing_id())
+    return found.where((F.size("_failed") == 0) & (F.col("_row") >= 0)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
