@@ -12,7 +12,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,14 +23,28 @@ BLOCK_TERMS = 4096
 
 
 def gaps(postings: DataFrame) -> DataFrame:
-    """term, doc_id and gap to the document before (to 0 for the first)."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return postings.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+    """term, doc_id and gap to the document before (to 0 for the first).
+
+    A term's documents are sorted segment by segment; only the last document of
+    each segment goes on to the next, so no task holds a whole frequent term.
+    """
+    rows = postings.groupBy("term", _segment("doc_id").alias("segment")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    before = F.coalesce(F.lag(F.element_at("ids", -1)).over(Window.partitionBy("term").orderBy("segment")), F.lit(0).cast("bigint"))
+    rows = rows.select("term", "ids", F.concat(F.array(before), F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("prior"))
+    return rows.select("term", F.inline(F.zip_with("ids", "prior", lambda a, b: F.struct(a.alias("doc_id"), (a - b).alias("gap")))))
 
 
 def from_gaps(gaps: DataFrame, order: str = "i") -> DataFrame:
-    w = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(w).alias("doc_id"))
+    """term and doc_id: sums of the gaps in an order, within segments of it and over them."""
+    part = gaps.withColumn("segment", _segment(order))
+    whole = Window.partitionBy("term").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = part.groupBy("term", "segment").agg(F.sum("gap").alias("total")).select("term", "segment", F.coalesce(F.sum("total").over(whole), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("term", "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return part.withColumn("run", F.sum("gap").over(inner)).join(base, ["term", "segment"]).select("term", (F.col("run") + F.col("base")).alias("doc_id"))
+
+
+def _segment(column: str) -> Column:
+    return F.floor(F.col(column) / SEGMENT_DOCUMENTS)
 
 
 def front_coded(terms: DataFrame, block: int = 0) -> DataFrame:
@@ -94,7 +108,7 @@ def decode(blob: bytes) -> list[tuple[str, list[int]]]:
 
 def compressed(postings: DataFrame) -> DataFrame:
     """segment, first_term, n_terms and blob."""
-    rows = postings.groupBy(F.floor(F.col("doc_id") / SEGMENT_DOCUMENTS).alias("segment"), "term").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    rows = postings.groupBy(_segment("doc_id").alias("segment"), "term").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     rows = rows.repartitionByRange("segment", "term").sortWithinPartitions("segment", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexgrid.plans.query import Node, Not, Nothing, Pair, QueryError, Term, holds_when_absent, parse, words
 
@@ -186,7 +187,9 @@ def near_joined(tokens: DataFrame, left: str, right: str, before: int, after: in
 
 def rendered(matches: DataFrame, documents: DataFrame) -> DataFrame:
     """Matches by id with their names and 1-based numbers; meant for a result that is shown."""
-    from pyspark.sql.window import Window
+    return numbered(matches.select("doc_id"), [F.col("doc_id")], "number").join(documents.select("doc_id", "name"), "doc_id").select("number", "doc_id", "name")
 
-    named = matches.select("doc_id").join(documents.select("doc_id", "name"), "doc_id")
-    return named.withColumn("number", F.row_number().over(Window.orderBy("doc_id")).cast("bigint")).select("number", "doc_id", "name")
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Few rows with their 1-based places in an order: they meet in one task, so names and texts are joined after."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

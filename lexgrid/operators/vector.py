@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexgrid.operators.index import document_lengths
+from lexgrid.sources.store import stored
 
 INDEX_LEADERS = 2
 QUERY_LEADERS = 2
@@ -40,18 +42,63 @@ def weights(tf: DataFrame, n: int | None = None) -> DataFrame:
     return frequencies(tf).join(idf(tf, n), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
+class Space:
+    """Stored weights, and what is made of them once: norms, leaders and followers.
+
+    store: writes a table of a name and gives it back; by default it goes to the shared folder.
+    """
+
+    def __init__(self, weights: DataFrame, store: Callable[[DataFrame, str], DataFrame] = stored) -> None:
+        self.weights, self._store = weights, store
+        self._made: dict[str, DataFrame] = {}
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._store(make(), name)
+        return self._made[name]
+
+    @property
+    def norms(self) -> DataFrame:
+        return self._table("norms", lambda: norms(self.weights))
+
+    @property
+    def leaders(self) -> DataFrame:
+        return self._table("leaders", lambda: leaders(self.norms.select("doc_id"), self.norms.count()))
+
+    @property
+    def followers(self) -> DataFrame:
+        return self._table("followers", lambda: followers(self.weights, self.leaders, size=self.norms))
+
+    def cosine(self, query_terms: list[str]) -> DataFrame:
+        return cosine(self.weights, query_terms, size=self.norms)
+
+    def cluster_query(self, query_terms: list[str], k: int = QUERY_LEADERS) -> DataFrame:
+        return cluster_query(self.weights, self.leaders, self.followers, query_terms, k, sims=self.cosine(query_terms))
+
+    def recall(self, query_terms: list[str], k: int = 10) -> float:
+        """The share of the k closest documents that the pruned search finds."""
+        best = closest(self.cosine(query_terms), k).select("doc_id")
+        return best.join(self.cluster_query(query_terms).select("doc_id"), "doc_id", "left_semi").count() / max(1, best.count())
+
+
 def norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def cosine(weights: DataFrame, query_terms: list[str]) -> DataFrame:
-    """doc_id and sim for every document: the query is binary over the vocabulary."""
+def cosine(weights: DataFrame, query_terms: list[str], size: DataFrame | None = None) -> DataFrame:
+    """doc_id and sim for every document: the query is binary over the vocabulary.
+
+    size: norms made before, so that only the postings of the asked terms are read.
+    """
     if not query_terms:
         raise EmptyQuery("Query can't be empty")
     asked = F.col("term").isin(sorted({*query_terms}))
     k = weights.where(asked).select("term").distinct().count()
     if k == 0:
         raise EmptyQuery("Index doesn't contain any word from the query")
+    if size is not None:
+        dots = weights.where(asked).groupBy("doc_id").agg(F.sum("w").alias("dot"))
+        return size.join(dots, "doc_id", "left").select("doc_id", F.when(F.col("norm") > 0, F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * math.sqrt(k))).otherwise(0.0).alias("sim"))
     rows = weights.groupBy("doc_id").agg(F.sum(F.when(asked, F.col("w")).otherwise(0.0)).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.select("doc_id", F.when(F.col("norm") > 0, F.col("dot") / (F.col("norm") * math.sqrt(k))).otherwise(0.0).alias("sim"))
 
@@ -76,14 +123,14 @@ def leaders(doc_ids: DataFrame, n: int) -> DataFrame:
     return doc_ids.select("doc_id").distinct().orderBy(leader_order(), "doc_id").limit(math.isqrt(n))
 
 
-def followers(weights: DataFrame, leaders: DataFrame, k: int = INDEX_LEADERS, nearest: bool = True) -> DataFrame:
+def followers(weights: DataFrame, leaders: DataFrame, k: int = INDEX_LEADERS, nearest: bool = True, size: DataFrame | None = None) -> DataFrame:
     """leader, doc_id and sim: each other document with its k closest leaders.
 
     Dot products come from an equi-join on terms; leaders without a common term
     have similarity 0, and of these only the 2 k with the smallest ids can be
     among the closest, so no pair of all leaders and documents is made.
     """
-    size = norms(weights)
+    size = norms(weights) if size is None else size
     own = weights.where("w <> 0")
     n_leaders = leaders.count()
     held = leaders.select(F.col("doc_id").alias("leader"))
@@ -104,9 +151,9 @@ def followers(weights: DataFrame, leaders: DataFrame, k: int = INDEX_LEADERS, ne
     return closest(every, k, nearest, by="doc_id").select("leader", "doc_id", "sim")
 
 
-def cluster_query(weights: DataFrame, leaders: DataFrame, followers: DataFrame, query_terms: list[str], k: int = QUERY_LEADERS, nearest: bool = True, repeats: bool = False) -> DataFrame:
+def cluster_query(weights: DataFrame, leaders: DataFrame, followers: DataFrame, query_terms: list[str], k: int = QUERY_LEADERS, nearest: bool = True, repeats: bool = False, sims: DataFrame | None = None) -> DataFrame:
     """doc_id and sim of the followers of the k leaders closest to the query; repeats: a follower of two leaders counts twice."""
-    sims = cosine(weights, query_terms)
+    sims = cosine(weights, query_terms) if sims is None else sims
     chosen = closest(sims.join(leaders.select("doc_id"), "doc_id", "left_semi"), k, nearest).select(F.col("doc_id").alias("leader"))
     found = followers.join(F.broadcast(chosen), "leader").select("doc_id")
     found = found if repeats else found.distinct()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.functions import text as T
-from lexgrid.operators import codec, evaluate, index, vector, zones
+from lexgrid.operators import codec, engine, evaluate, index, vector, zones
 from lexgrid.sources import files, formats
+from lexgrid.sources.store import fresh_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,6 +342,12 @@ def tf_of(spark: SparkSession, d: str) -> DataFrame:
     return index.term_frequencies(toks(spark, d))
 
 
+def space_of(spark: SparkSession, d: str) -> vector.Space:
+    """Weights of the documents, stored: what a search reads."""
+    t = stored(tf_of(spark, d), "tf")
+    return vector.Space(stored(vector.weights(t), "weights", "term"))
+
+
 @query(f"{VEC} SELECT term, doc_id, round(cnt / len, 9) AS tf FROM tf JOIN dl USING (doc_id)")
 def tf(spark, d):
     return vector.frequencies(tf_of(spark, d)).withColumn("tf", F.round("tf", 9))
@@ -353,45 +361,115 @@ def df_idf(spark, d):
 
 @query(f"{VEC} SELECT doc_id, term, round(w, 6) AS w FROM w")
 def tf_idf(spark, d):
-    return vector.weights(tf_of(spark, d)).withColumn("w", F.round("w", 6))
+    return vector.weights(stored(tf_of(spark, d), "tf")).withColumn("w", F.round("w", 6))
 
 
 @query(f"{VEC} SELECT doc_id, round(norm, 6) AS norm FROM nm")
 def doc_norms(spark, d):
-    return vector.norms(vector.weights(tf_of(spark, d))).withColumn("norm", F.round("norm", 6))
+    return space_of(spark, d).norms.withColumn("norm", F.round("norm", 6))
 
 
 @query(f"{COS} SELECT doc_id, round(sim, 6) AS sim FROM c")
 def cosine_rank(spark, d):
-    return vector.cosine(vector.weights(tf_of(spark, d)), list(ASKED)).withColumn("sim", F.round("sim", 6))
+    return space_of(spark, d).cosine(list(ASKED)).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"{COS} SELECT doc_id, round(sim, 6) AS sim FROM c ORDER BY round(sim, 9) DESC, doc_id LIMIT 10")
 def closest_documents(spark, d):
-    return vector.closest(vector.cosine(vector.weights(tf_of(spark, d)), list(ASKED)), 10).withColumn("sim", F.round("sim", 6))
-
-
-def _leaders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = tf_of(spark, d)
-    n = vector.document_count(t)
-    return vector.weights(t, n), vector.leaders(t.select("doc_id"), n)
+    return vector.closest(space_of(spark, d).cosine(list(ASKED)), 10).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"{CLUSTERS} SELECT leader AS doc_id FROM ld")
 def leaders(spark, d):
-    return _leaders(spark, d)[1]
+    return space_of(spark, d).leaders
 
 
 @query(f"{CLUSTERS} SELECT leader, doc_id, round(sim, 6) AS sim FROM fo")
 def followers(spark, d):
-    return vector.followers(*_leaders(spark, d)).withColumn("sim", F.round("sim", 6))
+    return space_of(spark, d).followers.withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""{CLUSTERS}, best AS (SELECT doc_id AS leader FROM c WHERE doc_id IN (FROM ld) ORDER BY round(sim, 9) DESC, doc_id LIMIT 2)
 SELECT DISTINCT doc_id, round(c.sim, 6) AS sim FROM fo JOIN best USING (leader) JOIN c USING (doc_id)""")
 def cluster_query(spark, d):
-    w, led = _leaders(spark, d)
-    return vector.cluster_query(w, led, vector.followers(w, led), list(ASKED)).withColumn("sim", F.round("sim", 6))
+    return space_of(spark, d).cluster_query(list(ASKED)).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"{COS} SELECT row_number() OVER (ORDER BY round(sim, 9) DESC, doc_id) AS rank, doc_id, round(sim, 4) AS weight, 'doc/' || doc_id AS name FROM c ORDER BY rank LIMIT 10")
+def closest_to_text(spark, d):
+    whole = documents(spark, d)
+    names = whole.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name"))
+    return engine.Engine(whole).closest("With THAT, (ing) 12 estion!", 10, names)
+
+
+@query(f"""SELECT 'documents' AS mode, doc_id FROM ({A} INTERSECT {B}) UNION ALL SELECT 'matrix', doc_id FROM ({A} INTERSECT {B})
+UNION ALL SELECT 'positional', doc_id FROM (SELECT DISTINCT doc_id FROM ({near_sql(OF, THE, 0, 1)})) UNION ALL SELECT 'pairs', doc_id FROM ({PAIR.format('of', 'the')} EXCEPT {PAIR.format('to', 'the')})
+UNION ALL SELECT 'vector', doc_id FROM tok WHERE term = 'with' GROUP BY doc_id""")
+def search_modes(spark, d):
+    e = engine.Engine(documents(spark, d))
+    asked = {"documents": "with & that", "matrix": "with & that", "positional": "of > the", "pairs": "of > the \\ (to > the)"}
+    found = [e.search(text, mode).select(F.lit(mode).alias("mode"), "doc_id") for mode, text in asked.items()]
+    found.append(e.search("with", "vector").where("sim <> 0").select(F.lit("vector").alias("mode"), "doc_id"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query("""SELECT doc_id, k.kind, k.text FROM (SELECT doc_id, source, lang, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]+', ' ', 'g') AS plain FROM documents) b,
+LATERAL (SELECT unnest([{'kind': 'Filename', 'text': 'books'}, {'kind': 'Filename', 'text': doc_id || '.fb2'}, {'kind': 'Title', 'text': coalesce(source, 'none')}, {'kind': 'Authors', 'text': coalesce(lang, 'none')}, {'kind': 'Authors', 'text': 'Lee'}, {'kind': 'Authors', 'text': 'zed'}, {'kind': 'Body', 'text': plain}]) AS k) u
+WHERE k.text <> ''""", tok=False)
+def book_zones(spark, d):
+    return zones.segments(books(spark, d))[0]
+
+
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as FictionBook files."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]+", " ")
+    author = F.concat(F.lit("<author><first-name>"), F.coalesce("lang", F.lit("none")), F.lit("</first-name><last-name>Lee</last-name></author><author><nickname>zed</nickname></author>"))
+    xml = F.concat(
+        F.lit("<FictionBook><description><title-info>"), author, F.lit("<book-title>"), F.coalesce("source", F.lit("none")), F.lit("</book-title></title-info></description><body><section><title><p>skipped</p></title><section><p>"),
+        plain, F.lit("</p></section></section></body></FictionBook>"),
+    )
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("books/"), F.col("doc_id").cast("string"), F.lit(".fb2")).alias("name"), xml.alias("text"))
+
+
+@query("""SELECT 'all' AS read, count(*) AS documents, count(DISTINCT text)::BIGINT AS texts, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, count(*) - 1 AS last_id, 1::BIGINT AS ignored FROM (SELECT coalesce(text, '') AS text FROM documents)
+UNION ALL SELECT 'first', least(7, count(*)), 0, 0, least(7, count(*)) - 1, 0 FROM documents""", tok=False)
+def files_source(spark, d):
+    folder = fresh_folder(spark, "files")
+    documents(spark, d).select(F.coalesce("text", F.lit("")).alias("text")).write.option("maxRecordsPerFile", 1).text(folder)
+    files.put(spark, f"{folder}/zz-not-text", b"\xff\xfe no text")
+    files.put(spark, f"{folder}/_SUCCESS", None)
+    whole, ignored = files.read_documents(spark, folder)
+    first, _ = files.read_documents(spark, folder, 7)
+    none = F.lit(None)
+    rows = whole.select(F.lit("all").alias("read"), "doc_id", "text").unionByName(ignored.select(F.lit("all").alias("read"), none.cast("bigint").alias("doc_id"), none.cast("string").alias("text")))
+    rows = rows.unionByName(first.select(F.lit("first").alias("read"), "doc_id", "text"))
+    return rows.groupBy("read").agg(
+        F.count("doc_id").alias("documents"), F.countDistinct("text").alias("texts"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.max("doc_id").alias("last_id"),
+        F.sum(F.col("doc_id").isNull().cast("bigint")).alias("ignored"),
+    ).where("read = 'all' or last_id is not null").withColumns({c: F.when(F.col("read") == "all", F.col(c)).otherwise(0) for c in ("texts", "bytes")})
+
+
+@query(r""", c AS (SELECT doc_id, regexp_extract_all(text, '[^\p{L}]*(?:\p{L}[\p{L}'']*)') AS g FROM documents),
+e AS (SELECT doc_id, generate_subscripts(g, 1) AS i, lower(ltrim(regexp_extract(unnest(g), '\p{L}[\p{L}'']*$'))) AS term, octet_length(encode(unnest(g))) AS n FROM c),
+o AS (SELECT doc_id, term, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM e)
+SELECT term, '{"' || term || '":{' || string_agg('"' || doc_id || '":[' || p || ']', ',' ORDER BY doc_id::VARCHAR) || '}}' AS line FROM (SELECT term, doc_id, string_agg(b::VARCHAR, ',' ORDER BY b) AS p FROM o GROUP BY ALL) GROUP BY term""")
+def offset_json(spark, d):
+    return formats.json_lines(index.offsets(documents(spark, d)), "offsets").withColumnRenamed("value", "line")
+
+
+@query("""SELECT 'index' AS section, term AS key, '{"index":{"' || term || '":{' || string_agg('"' || doc_id || '":[' || p || ']', ',' ORDER BY doc_id::VARCHAR) || '}}}' AS value FROM (SELECT term, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS p FROM tok GROUP BY ALL) GROUP BY term
+UNION ALL SELECT 'documents', doc_id::VARCHAR, '{"documents":{"' || doc_id || '":[]}}' FROM uni""")
+def positional_json_index(spark, d):
+    t = toks(spark, d)
+    return formats.json_index_lines(index.positional(t), index.universe(t))
+
+
+@query("SELECT '' AS term, doc_id, count(*) AS n FROM tok GROUP BY doc_id UNION ALL SELECT term, doc_id, count(*) FROM tok GROUP BY term, doc_id")
+def tf_file_roundtrip(spark, d):
+    folder = fresh_folder(spark, "tf-file")
+    formats.write_tf(index.term_frequencies(toks(spark, d)), folder)
+    lengths, found = formats.read_tf(spark, folder)
+    return lengths.select(F.lit("").alias("term"), "doc_id", F.col("len").alias("n")).unionByName(found.select("term", "doc_id", F.col("cnt").alias("n")))
 
 
 @query("SELECT coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS bytes FROM documents", tok=False)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Documents of a term that share a line.
+SEGMENT_DOCUMENTS = 1 << 20
+
 
 class DictionaryStorage(Protocol):
     def write(self, path: str, dictionary: DataFrame) -> None: ...
@@ -55,9 +58,13 @@ class JsonStorage:
 
 
 def index_lines(postings: DataFrame) -> DataFrame:
-    """term and value: term:id,id,..."""
+    """term and value: term:id,id,...; a term has a line for each segment of documents, so that no line holds all of a frequent one."""
     ids = F.array_join(F.transform(F.sort_array(F.collect_set("doc_id")), lambda i: i.cast("string")), ",")
-    return postings.groupBy("term").agg(ids.alias("ids")).select("term", F.concat_ws(":", "term", "ids").alias("value"))
+    return postings.groupBy("term", segment()).agg(ids.alias("ids")).select("term", F.concat_ws(":", "term", "ids").alias("value"))
+
+
+def segment(column: str = "doc_id") -> Column:
+    return F.floor(F.col(column) / SEGMENT_DOCUMENTS)
 
 
 def index_from_lines(lines: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def tf_lines(tf: DataFrame) -> tuple[DataFrame, DataFrame]:
     lengths = tf.groupBy("doc_id").agg(F.sum("cnt").alias("len")).select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("len").cast("string")).alias("value"))
     pair = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("cnt").cast("string"))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", pair.alias("p")))), lambda s: s["p"]), ",")
-    return lengths, tf.groupBy("term").agg(listed.alias("docs")).select("term", F.concat_ws("|", "term", "docs").alias("value"))
+    return lengths, tf.groupBy("term", segment()).agg(listed.alias("docs")).select("term", F.concat_ws("|", "term", "docs").alias("value"))
 
 
 def tf_from_lines(lines: DataFrame) -> DataFrame:
@@ -82,16 +89,35 @@ def tf_from_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_tf(tf: DataFrame, path: str) -> None:
-    """Both sections in order, parted by a line #; sections are folders of text parts."""
+    """Lengths in order of documents, a line #, then terms in their order: the parts of one text folder, in the order of their names."""
     lengths, terms = tf_lines(tf)
-    lengths.orderBy("doc_id").select("value").write.mode("overwrite").text(f"{path}/documents")
-    terms.orderBy("term").select("value").write.mode("overwrite").text(f"{path}/terms")
+    none = F.lit(None)
+    parted = tf.sparkSession.range(1).select(F.lit(1).alias("section"), none.cast("bigint").alias("doc_id"), none.cast("string").alias("term"), F.lit("#").alias("value"))
+    whole = lengths.select(F.lit(0).alias("section"), "doc_id", none.cast("string").alias("term"), "value").unionByName(parted)
+    whole = whole.unionByName(terms.select(F.lit(2).alias("section"), none.cast("bigint").alias("doc_id"), "term", "value"))
+    whole.orderBy("section", "doc_id", "term").select("value").write.mode("overwrite").text(path)
+
+
+def read_tf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and len, tf): both sections.  Terms hold no digit, colon or bar, so a line tells its section itself."""
+    lines = spark.read.text(path)
+    lengths = lines.where(F.col("value").rlike("^[0-9]+:[0-9]+$"))
+    number = lambda i: F.split_part("value", F.lit(":"), F.lit(i)).cast("bigint")
+    return lengths.select(number(1).alias("doc_id"), number(2).alias("len")), tf_from_lines(lines.where(F.col("value").contains("|")))
 
 
 def json_lines(index: DataFrame, entry: str) -> DataFrame:
-    """term and a JSON object {term: {doc: entry}} each; entry is an array column."""
+    """term and a JSON object {term: {doc: entry}} for each segment of documents; entry is an array column."""
     docs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col(entry)))))
-    return index.groupBy("term").agg(docs.alias("docs")).select("term", F.to_json(F.create_map("term", "docs")).alias("value"))
+    return index.groupBy("term", segment()).agg(docs.alias("docs")).select("term", F.to_json(F.create_map("term", "docs")).alias("value"))
+
+
+def json_index_lines(positional: DataFrame, universe: DataFrame) -> DataFrame:
+    """The positional index in JSON, section, key and value: {"documents": {doc: []}} for each document, {"index": {term: {doc: [pos]}}} for each term."""
+    document = F.col("doc_id").cast("string")
+    documents = universe.select(F.lit("documents").alias("section"), document.alias("key"), F.concat(F.lit('{"documents":{"'), document, F.lit('":[]}}')).alias("value"))
+    terms = json_lines(positional, "pos").select(F.lit("index").alias("section"), F.col("term").alias("key"), F.concat(F.lit('{"index":'), "value", F.lit("}")).alias("value"))
+    return documents.unionByName(terms)
 
 
 def zone_json_lines(zone_postings: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from lexgrid.operators import codec, evaluate, index, vector, zones
+from lexgrid.operators import codec, engine, evaluate, index, vector, zones
 from lexgrid.plans.query import QueryError, holds_when_absent, parse
-from lexgrid.sources import files, formats
+from lexgrid.sources import files, formats, store
 from lexgrid.streaming.append import append_positional
 
 TOKENIZER = [
@@ -36,10 +36,10 @@ def test_lexer_stats(spark, text, want):
 
 TREES = {
     "a > b > c": ">(a, >(b, c))", "a > b {2} c": ">(a, near2(b, c))", "a {2} b > c": "near2(a, >(b, c))", '"a b" {3} x': ">(a, near3(b, x))", '("a b") {3} x': "near3(>(a, b), x)", "!a > b": "!(>(a, b))",
-    "a \\ b \\ c": "\\(\\(a, b), c)", "!a \\ b": "\\(!(a), b)", "a | b & !c": "|(a, &(b, !(c)))", "!(!a)": "!(!(a))", '"a"': "a", '""': "False", " ": "False", "a)": "a",
+    "a \\ b \\ c": "\\(\\(a, b), c)", "!a \\ b": "\\(!(a), b)", "a | b & !c": "|(a, &(b, !(c)))", "!(!a)": "!(!(a))", '"a"': "a", '""': "False", " ": "False", "a)": "a", 'a ""': "a", '"" a': "a",
 }
 ERRORS = {
-    "!!a": "Missing argument", "a {1} !b": "Missing argument", "a &": "Missing argument", "a b": "single expression", '"a" "b"': "single expression", "(a": "Unexpected operator", "a {x} b": "Expected number",
+    "!!a": "Missing argument", "a {1} !b": "Missing argument", "a &": "Missing argument", "a b": "single expression", '"a" "b"': "single expression", "(a": "Unexpected operator", 'a & ""': "Missing argument", "a {x} b": "Expected number",
     "a {} b": "Expected number", "a {3 b": "closing bracket", '"a b': "Unclosed phrase", '"a & b"': "Unexpected token in phrase", "5": "Unexpected token", "}": "Unexpected token", "a # b": "invalid character",
 }
 
@@ -173,7 +173,11 @@ def test_formats(spark, tmp_path):
         with pytest.raises(PySparkException):
             formats.KeyValueStorage.parsed(spark.createDataFrame([(bad,)], "value string")).collect()
     formats.write_tf(index.term_frequencies(index.tokens(frame(spark, "a b a"))), f"{tmp_path}/tf")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/tf/terms").orderBy("value").collect()] == ["a|0:2", "b|0:1"]
+    parts = sorted((tmp_path / "tf").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "0:3\n#\na|0:2\nb|0:1\n"
+    lengths, terms = formats.read_tf(spark, f"{tmp_path}/tf")
+    assert [tuple(r) for r in lengths.collect()] == [(0, 3)]
+    assert sorted(tuple(r) for r in terms.collect()) == [("a", 0, 2), ("b", 0, 1)]
     assert formats.size_on_disk(spark, f"{tmp_path}/tf").first().bytes > 0
 
 
@@ -190,3 +194,54 @@ def test_streaming_append(spark, tmp_path):
     append_positional(stream, f"{tmp_path}/idx", f"{tmp_path}/ck").awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/idx").drop("segment")
     assert index.same(got, index.positional(index.tokens(frame(spark, *DOCS))))
+
+
+def test_gaps_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(codec, "SEGMENT_DOCUMENTS", 10)
+    p = spark.createDataFrame([(t, i) for t, ids in (("a", [0, 3, 9, 10, 47, 48]), ("b", [35]), ("c", [9, 10])) for i in ids], "term string, doc_id long")
+    got = {(r.term, r.doc_id): r.gap for r in codec.gaps(p).collect()}
+    assert got == {("a", 0): 0, ("a", 3): 3, ("a", 9): 6, ("a", 10): 1, ("a", 47): 37, ("a", 48): 1, ("b", 35): 35, ("c", 9): 9, ("c", 10): 1}
+    assert index.same(codec.from_gaps(codec.gaps(p), "doc_id"), p)
+
+
+def test_lines_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(formats, "SEGMENT_DOCUMENTS", 10)
+    p = spark.createDataFrame([("a", i) for i in (1, 2, 15)] + [("b", 30)], "term string, doc_id long")
+    lines = formats.index_lines(p)
+    assert sorted(r.value for r in lines.collect()) == ["a:1,2", "a:15", "b:30"]
+    assert index.same(formats.index_from_lines(lines), p)
+
+
+def test_engine(spark):
+    e = engine.Engine(frame(spark, *DOCS))
+    ids = lambda text, mode: {r.doc_id for r in e.search(text, mode).collect()}
+    assert ids("hello & world", "documents") == ids("hello & world", "matrix") == {0, 1, 2}
+    assert ids("hello > world", "positional") == {2} and ids("is > what", "pairs") == {4, 5}
+    assert {r.doc_id: round(r.sim, 6) for r in e.search("Hello, WORLD!", "vector").collect()} == {1: 1.0, 2: 0.948683, 0: 0.407861, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert [tuple(r) for r in e.closest("hello world", 2).orderBy("rank").collect()] == [(1, 1, 1.0, "1"), (2, 2, 0.9487, "2")]
+    assert 0 <= e.space.recall(["love"], 2) <= 1
+    for text in ("", "12 !"):
+        with pytest.raises(vector.EmptyQuery, match="empty"):
+            e.search(text, "vector")
+    with pytest.raises(vector.EmptyQuery, match="any word"):
+        e.search("zzz", "vector")
+    with pytest.raises(ValueError, match="mode"):
+        e.search("a", "other")
+    got = e.figures()
+    assert got["round_trip"] == 1 and got["bytes"] == sum(map(len, DOCS)) and got["text_bytes"] > got["compressed_bytes"] > 0 and got["build_s"] > 0
+    assert engine.timed(lambda: 5)[0] == 5
+
+
+class Unset:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = {}, self
+        self.master = master
+
+
+def test_shared_folder():
+    assert store.shared_folder(Unset("local[2]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            store.shared_folder(Unset(master))
