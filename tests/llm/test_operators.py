@@ -239,3 +239,39 @@ def test_line_dedup_of_repeated_and_missing_ids(spark):
     got = [(r.doc_id, r.text) for r in line_dedup.deduplicated(docs).collect()]
     lines = collections.Counter((i, x) for i, t in got for x in t.split("\n"))
     assert lines == {(i, x): 2 if i == 8 else 1 for i, t in rows for x in t.split("\n")}
+
+
+class Unset:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = {}, self
+        self.master = master
+
+
+def test_shared_folder():
+    assert shared.shared_dir(Unset("local[2]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared_dir(Unset(master))
+
+
+def test_entry_hides_no_broken_import(monkeypatch):
+    """Only an absent subpackage is passed over."""
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "lexgrid.llm.registry", None)
+    monkeypatch.setitem(sys.modules, "lexgrid.llm", None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    assert not any(n.startswith("op") and n[2].isdigit() for n in importlib.reload(__spark_entry__).queries())
+    monkeypatch.undo()
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    for name in [n for n in sys.modules if n.startswith("lexgrid.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.raises(ModuleNotFoundError, match="zstandard"):
+        importlib.reload(__spark_entry__)
+    monkeypatch.undo()
+    assert "pipeline" in importlib.reload(__spark_entry__).queries()
