@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +46,28 @@ def _at_exit(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
+def _freed(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that nothing needs any more.
+
+    It does so once the driver's JVM has collected what refers to them; events
+    that still wait for listeners refer to the last query.
+    """
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
+    except Py4JJavaError:  # a slow listener: files go a stage later
+        pass
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, kind: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk.
 
-    A table that a result still reads stays until the driver ends.  The shuffle
-    files behind a staged table are no longer needed; Spark deletes them once
-    the driver's JVM has collected what refers to them, so that is asked for.
+    A table that a result still reads stays until the driver ends.
     """
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     _at_exit(df.sparkSession, path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _freed(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ EPSILON.  region_links() takes memberships, one row per member and region, and
 returns links that connect whatever links inside the regions connect.
 
 Regions of up to REGION members and ITEMS set elements are joined in one task:
-small ones pair by pair, others recursively (see Region).
+small ones pair by pair, others recursively (see Region).  Members may name the
+cells that brought them into their region; where only members of one cell are
+to be compared, and no cell has more than CELL of them, pairs go by cells.
 
 A larger region is dealt over as many tasks as it takes, and each of its
 members is compared to the same PIVOTS members of it, one a bucket of a hash:
@@ -56,6 +58,8 @@ MERGED = 0.8
 TRIES, ROUNDS = 2, 8
 #: Members of a region that are compared pair by pair, and of one that recursion leaves whole.
 SMALL, LEAF = 12, 96
+#: Members of a cell up to which it is compared pair by pair.
+CELL = 32
 #: Set elements looked up at once.
 CHUNK = 1 << 20
 PART_BYTES = 4 << 20
@@ -346,7 +350,7 @@ class _Task:
         known, place = np.unique(np.asarray(label.fill_null(0)), return_inverse=True)
         self.label_ids, self.label = known, np.where(np.asarray(label.is_null()), -1, place.reshape(-1))
         self.score = np.asarray(batch.column("score").fill_null(0.0))
-        self.items = batch.column("items")
+        self.items, self.cells = batch.column("items"), batch.column("cells")
         self.sets = Sets(*unpack(self.items))
         new = np.ones(len(self.rid), dtype=bool)
         new[1:] = (self.region[1:] != self.region[:-1]) | (salt[1:] != salt[:-1])
@@ -355,6 +359,9 @@ class _Task:
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         compared = self.mode[self.starts] != 1
+        i, j, celled = self._by_cells()
+        yield self._links(*self._verified(i, j))
+        compared &= ~celled
         small = compared & (self.sizes <= SMALL)
         yield self._links(*self._small(self.starts[small], self.sizes[small]))
         for a, n in zip(self.starts[compared & ~small].tolist(), self.sizes[compared & ~small].tolist()):
@@ -362,7 +369,8 @@ class _Task:
             got = Region(self.rid[a : a + n], self.sets.rank[at[0] : at[-1]], at - at[0], self.label[a : a + n]).links()
             if got:
                 yield self._links(*(np.array(x) for x in zip(*got)))
-        for a, n in zip(self.starts[~compared].tolist(), self.sizes[~compared].tolist()):
+        pivoted = self.mode[self.starts] == 1
+        for a, n in zip(self.starts[pivoted].tolist(), self.sizes[pivoted].tolist()):
             yield from self._pivoted(a, a + n)
 
     @staticmethod
@@ -382,7 +390,36 @@ class _Task:
             at = starts[sizes == n][:, None]
             i.append((at + x).ravel())
             j.append((at + y).ravel())
-        i, j = np.concatenate(i), np.concatenate(j)
+        return self._verified(np.concatenate(i), np.concatenate(j))
+
+    def _by_cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of members that share a cell, and which groups these are all pairs of: those whose members name cells, none of them large."""
+        none = np.zeros(0, dtype=np.int64)
+        group = np.repeat(np.arange(len(self.starts)), self.sizes)
+        named = self.cells.is_valid()
+        if not len(group) or not pc.any(named).as_py():
+            return none, none, np.zeros(len(self.starts), dtype=bool)
+        member = np.repeat(np.arange(len(group)), np.asarray(self.cells.value_lengths().fill_null(0)))
+        cell = np.asarray(self.cells.flatten()).astype(np.int64)
+        celled = np.logical_and.reduceat(np.asarray(named), self.starts)
+        order = np.lexsort((member, cell, group[member]))
+        member, cell = member[order], cell[order]
+        new = np.ones(len(cell), dtype=bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (group[member][1:] != group[member][:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(cell)))
+        celled[group[member[starts[sizes > CELL]]]] = False
+        keep = celled[group[member[starts]]]
+        i, j = [none], [none]
+        for n in np.unique(sizes[keep]).tolist():
+            x, y = np.triu_indices(n, 1)
+            at = starts[keep & (sizes == n)][:, None]
+            i.append(member[(at + x).ravel()])
+            j.append(member[(at + y).ravel()])
+        pair = np.unique(np.concatenate(i) * len(group) + np.concatenate(j))
+        return pair // len(group), pair % len(group), celled
+
+    def _verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, x, y = self.sets.size[i], self.sets.size[j], self.label[i], self.label[j]
         keep = (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & ((x < 0) | (x != y))
         i, j = i[keep], j[keep]
@@ -471,7 +508,7 @@ def _dealt(members: DataFrame, turn: int, blocks: bool) -> DataFrame:
         "region", "count", F.col("now").alias("tries"), F.when(~large, 0).when(F.lit(blocks) | (F.col("now") >= TRIES), 2).otherwise(1).alias("mode"),
         F.ceil(F.greatest(F.col("count") / REGION, F.col("items") / ITEMS)).cast("int").alias("parts"),
     )
-    dealt = members.select("rid", "region", "tag", "label", "score").join(size, "region")
+    dealt = members.select("rid", "region", "tag", "label", "score", "cells").join(size, "region")
     bucket = F.pmod(F.xxhash64("rid", "region", F.lit(turn)), F.lit(PIVOTS))
     first = F.struct(F.col("label").isNotNull().alias("met"), (-F.coalesce("score", F.lit(0.0))).alias("score"), F.xxhash64("rid", F.lit(turn)).alias("by"), "rid")
     # from all members, so that the minimum is taken before a shuffle: a large region comes to PIVOTS rows a task
@@ -489,7 +526,8 @@ def _dealt(members: DataFrame, turn: int, blocks: bool) -> DataFrame:
         .otherwise(F.array(one(F.col("parts"))))
     )
     role = F.when(F.col("pivot"), 0).otherwise(1)
-    carried = F.struct("region", "salt", "mode", role.alias("role"), "label", "score", "tries", "count")
+    cells = F.when(F.col("mode") == 0, F.col("cells"))
+    carried = F.struct("region", "salt", "mode", role.alias("role"), "label", "score", "tries", "count", cells.alias("cells"))
     return dealt.withColumn("salt", F.explode(salts)).groupBy("rid").agg(F.collect_list(carried).alias("regions"))
 
 
@@ -508,11 +546,13 @@ def _joined(members: DataFrame, attach: Attach, unpack: Unpack, turn: int, block
 def region_links(members: DataFrame, attach: Attach, unpack: Unpack) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): links that connect all members (rid, region, n) that links inside the regions connect; and the staged tables behind it.
 
-    n is the size of the member's set, about; rids of equal sets may differ.
+    n is the size of the member's set, about.  A column cells (array of longs)
+    says that only members with a common cell need a link.
     """
-    fresh = [F.lit(None).cast(t).alias(c) for c, t in (("label", "bigint"), ("score", "double"), ("tries", "int"), ("before", "bigint"))]
+    fresh = [F.lit(None).cast(t).alias(c) for c, t in (("label", "bigint"), ("score", "double"), ("tries", "int"), ("before", "bigint"), ("cells", "array<bigint>"))]
     tag = (2 * F.least("n", F.lit(1 << 29)) + 1).cast("int").alias("tag")
-    members = staged(members.select("rid", "region", tag, *fresh), "members")
+    own = fresh if "cells" not in members.columns else [*fresh[:-1], F.col("cells")]
+    members = staged(members.select("rid", "region", tag, *own), "members")
     tables: list[DataFrame] = []
     turn = 0
     while True:
@@ -522,7 +562,7 @@ def region_links(members: DataFrame, attach: Attach, unpack: Unpack) -> tuple[Da
         turn += 1
         if got.where(F.col("kind") != LINK).isEmpty():
             break
-        children = got.where(F.col("kind") == CHILD).select(F.col("a").alias("rid"), F.col("b").alias("region"), "tag", "label", "score", "tries", "before")
+        children = got.where(F.col("kind") == CHILD).select(F.col("a").alias("rid"), F.col("b").alias("region"), "tag", "label", "score", "tries", "before", fresh[-1])
         far = got.where(F.col("kind") == CELL).select(F.col("b").alias("region"), F.col("a").alias("rid"), "tag", "cells")
         cored = far.groupBy("region").agg(F.max(F.col("tag").bitwiseAND(1)).alias("core")).where("core = 1").select("region")
         cells = far.join(cored, "region").select(F.explode("cells").alias("cell"), "rid", "tag")
