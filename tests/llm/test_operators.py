@@ -2,7 +2,9 @@
 
 import collections
 import glob
+import gzip
 import hashlib
+import io
 import itertools
 import os
 import random
@@ -275,3 +277,36 @@ def test_entry_hides_no_broken_import(monkeypatch):
         importlib.reload(__spark_entry__)
     monkeypatch.undo()
     assert "pipeline" in importlib.reload(__spark_entry__).queries()
+
+
+def records(path):
+    for p in sorted(glob.glob(f"{path}/part-*")):
+        with gzip.open(p) as f:
+            yield from warc.parse_archive(f)
+
+
+def test_warc_records(spark, tmp_path):
+    """Every record has an id of its own; a revisit names its response's id and url."""
+    pages = spark.createDataFrame([(1, "http://a/ b", "p" * 200), (1, "http://a/ b", "p" * 200), (None, None, "p" * 200), (4, "http://d", "q" * 200), (5, "http://e", None)], "page_id long, url string, html string")
+    warc.archived(pages, f"{tmp_path}/raw")
+    warc.deduplicated(spark, f"{tmp_path}/raw", f"{tmp_path}/small")
+    raw, small = [*records(f"{tmp_path}/raw")], [*records(f"{tmp_path}/small")]
+    ids = [h["WARC-Record-ID"] for h, *_ in small]
+    assert len({*ids}) == 5 and {*ids} == {h["WARC-Record-ID"] for h, *_ in raw}
+    first = next(h for h, _, body in small if h["WARC-Type"] == "response" and body == b"p" * 200)
+    again = [h for h, *_ in small if h["WARC-Type"] == "revisit"]
+    assert len(again) == 2 and first["X-Page-Id"] == "1"
+    for h in again:
+        assert (h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"], h["X-Refers-To-Page"]) == (first["WARC-Record-ID"], "http://a/%20b", "1")
+    with pytest.raises(ValueError, match="cut off"):
+        [*warc.parse_archive(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))]
+    with pytest.raises(ValueError, match="no WARC record"):
+        [*warc.parse_archive(io.BytesIO(b"x"))]
+
+
+def test_warc_of_a_large_page_and_of_none(spark, tmp_path):
+    big = "0123456789abcdef" * (50 << 16)
+    for k, rows in enumerate(([(1, "u", big), (2, "u", big), (3, "u", "small")], [])):
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op5_warc(spark, f"{tmp_path}/{k}").collect())
+        assert got == ([(1, len(big), "response", None), (2, len(big), "revisit", 1), (3, 5, "response", None)] if rows else [])
