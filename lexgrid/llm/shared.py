@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -49,25 +50,30 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 def _freed(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files that nothing needs any more.
 
-    It does so once the driver's JVM has collected what refers to them; events
-    that still wait for listeners refer to the last query.
+    It does so once the driver's JVM has collected what refers to them.  Events
+    that still wait for listeners refer to the last query, and some references
+    go only after Spark's cleaner has seen what a first collection found.
     """
     try:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
     except Py4JJavaError:  # a slow listener: files go a stage later
         pass
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
-def staged(df: DataFrame, kind: str) -> DataFrame:
+def staged(df: DataFrame, kind: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk.
 
-    A table that a result still reads stays until the driver ends.
+    A table that a result still reads stays until the driver ends.  free: large
+    shuffles stand behind df; their files are deleted.
     """
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     _at_exit(df.sparkSession, path)
-    _freed(df.sparkSession)
+    if free:
+        _freed(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

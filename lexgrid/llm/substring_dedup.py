@@ -237,7 +237,7 @@ def deduplicated(documents: DataFrame, texts: bool = True) -> DataFrame:
     several = first.groupBy("first").agg((F.count("*") > 1).alias("several"))
     first = first.join(several, "first").select("rid", "check", "first", F.when(F.col("several"), F.col("rid")).otherwise(0).alias("tag"))
     # staged, so that the shuffle of all anchors is gone before windows are shuffled
-    hits = staged(shared.groupBy("rid").agg(F.collect_set("a").alias("anchors")), "anchors")
+    hits = staged(shared.groupBy("rid").agg(F.collect_set("a").alias("anchors")), "anchors", free=True)
     found = base.join(first.join(hits, "rid"), ["rid", "check"]).withColumn("mine", F.col("doc") == F.col("first"))
     # all columns go along, and copies go in the worker, so that this join and the last one read the texts from one shuffle
     windows = found.select("doc_id", "check", "doc", "rid", "text", "tag", "anchors", "mine").mapInArrow(_window_rows, "h1 bigint, h2 bigint, doc bigint, start int, tag bigint, more binary")

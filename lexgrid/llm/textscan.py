@@ -164,8 +164,18 @@ def scan_words(column: pa.Array, piece_bytes: int = 1 << 20) -> Iterator[Words]:
 
 
 def row_sets(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each row, ascending: (values, bounds of the rows)."""
-    order = np.lexsort((values, rows))
+    """Distinct values of each row, ascending: (values, bounds of the rows).
+
+    One sort by the row and the upper bits of the value; if two values differ
+    in the lower bits alone, which is rare for hashes, a slower one by both.
+    """
+    bits = np.uint64(max(1, int(n_rows).bit_length()))
+    key = rows.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits
+    order = np.argsort(key)
+    if len(key) > 1:
+        key, ordered = key[order], values[order]
+        if ((key[1:] == key[:-1]) & (ordered[1:] < ordered[:-1])).any():
+            order = np.lexsort((values, rows))
     rows, values = rows[order], values[order]
     keep = np.ones(len(rows), dtype=bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])

@@ -38,6 +38,7 @@ blocks is one region: quadratic, but exact and in bounded memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ SMALL, LEAF = 12, 96
 CELL = 32
 #: Set elements looked up at once.
 CHUNK = 1 << 20
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 _SLACK = 1e-9
 
 #: Gives (rid, items, regions), one row for each rid, from (rid, regions); items holds the set in a form that Unpack reads.
@@ -140,32 +141,58 @@ def members_of_cells(crowded: int):
 
 
 class Sets:
-    """Sets of some rows, as ranks among all their elements."""
+    """Sets of some rows; `unique` and `rank` give them as ranks among all their elements."""
 
     def __init__(self, values: np.ndarray, bounds: np.ndarray) -> None:
         self.values, self.bounds = values, bounds
         self.size = np.diff(bounds)
-        self.unique, self.rank = np.unique(values, return_inverse=True)
-        self.rank = self.rank.reshape(-1).astype(np.int64)
-        self.keys: np.ndarray | None = None
+        self.bits = np.uint64(max(1, len(self.size).bit_length()))
+
+    @cached_property
+    def _ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        unique, rank = np.unique(self.values, return_inverse=True)
+        return unique, rank.reshape(-1).astype(np.int64)
+
+    @property
+    def unique(self) -> np.ndarray:
+        return self._ranked[0]
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self._ranked[1]
+
+    def _keys(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """A row and the upper bits of a value: ascending over the sets."""
+        return rows.astype(np.uint64) << (np.uint64(64) - self.bits) | values >> self.bits
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self._keys(np.repeat(np.arange(len(self.size)), self.size), self.values)
 
     def both(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Intersection sizes of the rows of i with those of j."""
-        if self.keys is None:
-            self.keys = np.repeat(np.arange(len(self.size)), self.size) * len(self.unique) + self.rank
         swap = self.size[i] > self.size[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         out = np.empty(len(i), dtype=np.int64)
         ends = np.cumsum(self.size[i])
-        at = 0
+        at, last = 0, len(self.keys) - 1
         while at < len(i):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
             n = self.size[i[at:stop]]
             pair = np.repeat(np.arange(stop - at), n)
-            element = self.bounds[i[at:stop]][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-            wanted = j[at:stop][pair] * len(self.unique) + self.rank[element]
-            found = self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
-            out[at:stop] = np.bincount(pair, found, stop - at).astype(np.int64)
+            value = self.values[self.bounds[i[at:stop]][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+            wanted = self._keys(j[at:stop][pair], value)
+            place = np.searchsorted(self.keys, wanted)
+            met = np.zeros(len(pair), dtype=bool)
+            left = np.arange(len(pair))
+            while len(left):  # more than once only where a set has values of the same upper bits
+                now = place[left]
+                left = left[(now <= last) & (self.keys[np.minimum(now, last)] == wanted[left])]
+                same = self.values[place[left]] == value[left]
+                met[left[same]] = True
+                left = left[~same]
+                place[left] += 1
+            out[at:stop] = np.bincount(pair, met, stop - at).astype(np.int64)
             at = stop
         return out
 
@@ -552,11 +579,11 @@ def region_links(members: DataFrame, attach: Attach, unpack: Unpack) -> tuple[Da
     fresh = [F.lit(None).cast(t).alias(c) for c, t in (("label", "bigint"), ("score", "double"), ("tries", "int"), ("before", "bigint"), ("cells", "array<bigint>"))]
     tag = (2 * F.least("n", F.lit(1 << 29)) + 1).cast("int").alias("tag")
     own = fresh if "cells" not in members.columns else [*fresh[:-1], F.col("cells")]
-    members = staged(members.select("rid", "region", tag, *own), "members")
+    members = staged(members.select("rid", "region", tag, *own), "members", free=True)
     tables: list[DataFrame] = []
     turn = 0
     while True:
-        got = staged(_joined(members, attach, unpack, turn, turn >= ROUNDS), "links")
+        got = staged(_joined(members, attach, unpack, turn, turn >= ROUNDS), "links", free=True)
         tables.append(got)
         removed(got.sparkSession, members)
         turn += 1

@@ -147,3 +147,11 @@ def test_densified_signatures_differ_little_from_jaccard():
         total += 1
         met += any(len({*b.column("band").to_pylist()}) == 1 for b in bands)
     assert total > 100 and met >= total - 1
+
+
+def test_intersections_of_sets_with_values_of_the_same_upper_bits():
+    rng = random.Random(6)
+    sets = [sorted({rng.choice((0, 1 << 63)) + rng.randrange(12) for _ in range(rng.randrange(1, 12))}) for _ in range(60)]
+    got = voronoi.Sets(np.array([x for s in sets for x in s], dtype=np.uint64), np.cumsum([0, *map(len, sets)]))
+    i, j = np.triu_indices(60, 1)
+    assert got.both(i, j).tolist() == [len({*sets[a]} & {*sets[b]}) for a, b in zip(i, j)]
