@@ -61,7 +61,7 @@ class Engine:
         if mode == "documents":
             return evaluate.documents_matching(self.positional, text, self.universe)
         if mode == "matrix":
-            return evaluate.bitmap_matching(self.bitmaps, text)
+            return evaluate.bitmap_matching(self.bitmaps, text, self.universe)
         if mode == "positional":
             return evaluate.positions_matching(self.positional, text, self.universe)
         if mode == "pairs":

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexgrid.operators.index import bucketed
 from lexgrid.plans.query import Node, Not, Nothing, Pair, QueryError, Term, holds_when_absent, parse, words
 
+#: Fixed value: bytes of one of Spark's bitmaps.
+BITMAP_BYTES = 4096
+
 
 def _tree(query: str | Node) -> Node:
     return parse(query + "\n") if isinstance(query, str) else query
@@ -79,14 +83,23 @@ def pairs_matching(bigrams: DataFrame, query: str | Node, universe: DataFrame) -
     return _flagged(scan.withColumn("pair", F.concat_ws("_", "w1", "w2")), tree, universe, F.col("pair"), names, leaf)
 
 
-def bitmap_matching(bitmaps: DataFrame, query: str | Node) -> DataFrame:
-    """doc_id by the bit matrix; NOT is taken within documents that have a term."""
+def bitmap_matching(bitmaps: DataFrame, query: str | Node, universe: DataFrame | None = None) -> DataFrame:
+    """doc_id by the bit matrix; NOT is taken within documents that have a term.
+
+    universe: their ids; without it a query with NOT reads the bits of all terms.
+    """
     tree = _tree(query)
     _no_near(tree)
     names = words(tree)
     each = [F.bitmap_or_agg(F.when(F.col("term") == n, F.col("bits"))).alias(f"b{i}") for i, n in enumerate(names)]
-    scan = bitmaps if holds_when_absent(tree) else bitmaps.where(F.col("term").isin(names) if names else F.lit(False))
-    rows = scan.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("all"), *each)
+    asked = bitmaps.where(F.col("term").isin(names) if names else F.lit(False))
+    if universe is not None and holds_when_absent(tree):
+        none = F.lit(bytearray(BITMAP_BYTES))
+        rows = asked.groupBy("bucket").agg(F.lit(1).alias("met"), *each)
+        rows = bucketed(universe).join(rows, "bucket", "left").select("bucket", F.col("bits").alias("all"), *[F.coalesce(f"b{i}", none).alias(f"b{i}") for i in range(len(names))])
+    else:
+        scan = bitmaps if holds_when_absent(tree) else asked
+        rows = scan.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("all"), *each)
 
     def bits(col: pd.Series) -> np.ndarray:
         return np.stack([np.frombuffer(x, dtype=np.uint8) for x in col])

@@ -77,8 +77,13 @@ def bigrams(documents: DataFrame) -> DataFrame:
 
 def bitmaps(postings: DataFrame) -> DataFrame:
     """term, bucket and bits: the incidence matrix in pieces of fixed size; ids count from 0, bits from 1."""
+    return bucketed(postings, "term")
+
+
+def bucketed(rows: DataFrame, *key: str) -> DataFrame:
+    """key, bucket and bits of the doc_ids."""
     place = F.col("doc_id") + 1
-    return postings.groupBy("term", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    return rows.groupBy(*key, F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
 
 
 def merged_bitmaps(*parts: DataFrame) -> DataFrame:

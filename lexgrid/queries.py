@@ -144,7 +144,7 @@ def _boolean(name: str, text: str, sql: str, matrix: bool = False) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = toks(spark, d)
         if matrix:
-            return evaluate.bitmap_matching(index.bitmaps(index.postings(t)), text)
+            return evaluate.bitmap_matching(index.bitmaps(index.postings(t)), text, index.universe(t))
         return evaluate.documents_matching(t.select("term", "doc_id"), text, index.universe(t))
 
     run.__name__ = name

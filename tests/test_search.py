@@ -90,7 +90,8 @@ def test_document_level(spark):
     p, u = index.postings(t), index.universe(t)
     for text, want in {"hello & world": {0, 1, 2}, "hello \\ world": set(), "hello \\ !world": {0, 1, 2}, "!hello": {3, 4, 5}, "hello | what": {0, 1, 2, 3, 4, 5}, "!(hello | what)": set()}.items():
         assert {r.doc_id for r in evaluate.documents_matching(p, text, u).collect()} == want, text
-        assert {r.doc_id for r in evaluate.bitmap_matching(index.bitmaps(p), text).collect()} == want, text
+        for universe in (None, u):
+            assert {r.doc_id for r in evaluate.bitmap_matching(index.bitmaps(p), text, universe).collect()} == want, text
     with pytest.raises(QueryError, match="not supported"):
         evaluate.documents_matching(p, "a > b", u)
 
