@@ -261,14 +261,16 @@ class Region:
     def able(self) -> np.ndarray:
         """Members that share enough of their set with the rest to have a link."""
         members = np.arange(len(self.size))
-        while len(members) > 1:
+        for _ in range(4):  # each turn leaves out some that could have met those left out before; the rest is compared
+            if len(members) < 2:
+                break
             rank, owner = self.flat(members)
             again = np.bincount(rank, minlength=self.n_ranks)[rank] > 1
             keep = 100 * np.bincount(owner[again], minlength=len(members)) >= PERCENT * self.size[members]
             if keep.all():
                 return members
             members = members[keep]
-        return members[:0]
+        return members
 
     def links(self) -> list[tuple[int, int]]:
         self.join(self.able())
@@ -289,13 +291,12 @@ class Region:
             self.forest.join(int(p), members[near_enough[:, k]])
         d = 1 - both / (a + b - both)
         home, near = d.argmin(axis=1), d.min(axis=1)
-        for k in range(len(at)):
-            if (home == k).any():
-                part = members[d[:, k] <= np.where(home == k, 1, near + 2 * EPSILON + _SLACK)]
-                if len(part) > 0.7 * len(members):
-                    self._compare(part)
-                else:
-                    self.join(part)
+        inside = [d[:, k] <= np.where(home == k, 1, near + 2 * EPSILON + _SLACK) for k in range(len(at)) if (home == k).any()]
+        if max(x.sum() for x in inside) > 0.7 * len(members) or sum(x.sum() for x in inside) > 2 * len(members):
+            self._compare(members)  # these pivots do not part the region
+        else:
+            for x in inside:
+                self.join(members[x])
 
     def _compare(self, members: np.ndarray) -> None:
         order = members[np.argsort(self.size[members], kind="stable")]
