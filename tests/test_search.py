@@ -213,6 +213,12 @@ def test_lines_over_segments(spark, monkeypatch):
     assert index.same(formats.index_from_lines(lines), p)
 
 
+@pytest.mark.parametrize("read", [formats.index_from_lines, formats.tf_from_lines])
+def test_rows_of_a_line_do_not_carry_it(spark, read):
+    plan = read(spark.createDataFrame([("a:1,2",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "value#" not in plan.split("Generate")[0]
+
+
 def test_engine(spark):
     e = engine.Engine(frame(spark, *DOCS))
     ids = lambda text, mode: {r.doc_id for r in e.search(text, mode).collect()}
