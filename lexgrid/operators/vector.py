@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ INDEX_LEADERS = 2
 QUERY_LEADERS = 2
 #: Documents of the leader table up to which it is sent to every task.
 BROADCAST_LEADERS = 2000
+#: Products of weights, and rows of documents, that a task makes similarities of at once.
+PRODUCTS, HELD_ROWS = 1 << 20, 1 << 19
 
 
 class EmptyQuery(ValueError):
@@ -126,29 +131,105 @@ def leaders(doc_ids: DataFrame, n: int) -> DataFrame:
 def followers(weights: DataFrame, leaders: DataFrame, k: int = INDEX_LEADERS, nearest: bool = True, size: DataFrame | None = None) -> DataFrame:
     """leader, doc_id and sim: each other document with its k closest leaders.
 
-    Dot products come from an equi-join on terms; leaders without a common term
-    have similarity 0, and of these only the 2 k with the smallest ids can be
-    among the closest, so no pair of all leaders and documents is made.
+    Every document is compared to every leader, but no pair of the two is ever
+    a row: tasks hold the leaders' weights, take the documents whole and give
+    out only the k best of each.
     """
+    spark = weights.sparkSession
     size = norms(weights) if size is None else size
-    own = weights.where("w <> 0")
-    n_leaders = leaders.count()
-    held = leaders.select(F.col("doc_id").alias("leader"))
-    if n_leaders <= BROADCAST_LEADERS:
-        held = F.broadcast(held)
-    led = own.join(held, own["doc_id"] == held["leader"]).select("leader", "term", F.col("w").alias("lw"))
-    rest = own.join(held, own["doc_id"] == held["leader"], "left_anti")
-    dots = rest.join(led, "term").groupBy("doc_id", "leader").agg(F.sum(F.col("w") * F.col("lw")).alias("dot"))
-    named = size.select(F.col("doc_id").alias("leader"), F.col("norm").alias("leader_norm"))
-    sims = dots.join(size, "doc_id").join(named, "leader").select("doc_id", "leader", (F.col("dot") / (F.col("norm") * F.col("leader_norm"))).alias("sim"))
-    if nearest:
-        first = [r[0] for r in leaders.orderBy("doc_id").limit(2 * k).collect()]
-        others = size.select("doc_id").join(held, F.col("doc_id") == F.col("leader"), "left_anti")
-        zero = others.select("doc_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in first])).alias("leader"), F.lit(0.0).alias("sim")) if first else sims.limit(0)
-    else:  # the least similar: every pair counts, as in an unpruned reference run; for small corpora
-        zero = size.select("doc_id").join(held, F.col("doc_id") == F.col("leader"), "left_anti").join(F.broadcast(leaders.select(F.col("doc_id").alias("leader"))), F.lit(True)).select("doc_id", "leader", F.lit(0.0).alias("sim"))
-    every = sims.unionByName(zero).groupBy("doc_id", "leader").agg(F.max("sim").alias("sim"))
-    return closest(every, k, nearest, by="doc_id").select("leader", "doc_id", "sim")
+    size = size.where("doc_id is not null")
+    own = weights.where("w <> 0 and doc_id is not null")
+    led = leaders.select(F.col("doc_id").alias("leader"))
+    if leaders.count() <= BROADCAST_LEADERS:
+        led = F.broadcast(led)
+    table = own.join(led, own["doc_id"] == led["leader"]).select("leader", "term", "w").toArrow().combine_chunks()
+    named = size.join(led, size["doc_id"] == led["leader"]).select("leader", "norm").orderBy("leader").toArrow()
+    coded = pc.dictionary_encode(table["term"]).combine_chunks()
+    tids, terms = np.asarray(coded.indices), coded.dictionary
+    sent = spark.sparkContext.broadcast(Leaders(np.asarray(named["leader"]), np.asarray(named["norm"]), np.asarray(table["leader"]), tids, np.asarray(table["w"]), len(terms)))
+    vocabulary = spark.createDataFrame(pa.table({"term": terms.cast(pa.string()), "tid": np.arange(len(terms), dtype=np.int32)}))
+    rows = own.join(F.broadcast(vocabulary), "term").select("doc_id", "tid", "w")
+    rows = rows.unionByName(size.select("doc_id", F.lit(-1).alias("tid"), F.col("norm").alias("w"))).join(led, F.col("doc_id") == F.col("leader"), "left_anti")
+    best = lambda batches: _best_leaders(batches, sent.value, k, nearest)
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "tid").mapInArrow(best, "leader bigint, doc_id bigint, sim double")
+
+
+class Leaders:
+    """Weights of the leaders, by term: those of terms that many leaders have as a full matrix, others as lists."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, leader: np.ndarray, tid: np.ndarray, w: np.ndarray, n_terms: int) -> None:
+        self.ids, self.size = ids, size
+        place = np.searchsorted(ids, leader)
+        count = np.bincount(tid, minlength=n_terms)
+        often = count > len(ids) // 8
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.full = np.zeros((int(often.sum()), len(ids)))
+        mine = often[tid]
+        self.full[self.row[tid[mine]], place[mine]] = w[mine]
+        order = np.flatnonzero(~mine)
+        order = order[np.argsort(tid[order], kind="stable")]
+        self.place, self.w = place[order], w[order]
+        self.count = np.where(often, 0, count)
+        self.start = np.cumsum(self.count) - self.count
+
+    def sims(self, doc: np.ndarray, tid: np.ndarray, w: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """documents x leaders, from the documents' weights: place of the document, term and weight; and their norms."""
+        n = len(self.ids)
+        row = self.row[tid]
+        often = row >= 0
+        held = np.zeros((len(norm), len(self.full)))
+        held[doc[often], row[often]] = w[often]
+        out = held @ self.full
+        doc, tid, w = doc[~often], tid[~often], w[~often]
+        count = self.count[tid]
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(doc):
+            stop = max(at + 1, int(np.searchsorted(ends, PRODUCTS + (ends[at - 1] if at else 0), side="right")))
+            c = count[at:stop]
+            of = np.repeat(np.arange(at, stop), c)
+            entry = np.arange(len(of)) + np.repeat(self.start[tid[at:stop]] - (np.cumsum(c) - c), c)
+            low, high = doc[at], doc[stop - 1] + 1
+            out[low:high] += np.bincount((doc[of] - low) * n + self.place[entry], w[of] * self.w[entry], (high - low) * n).reshape(-1, n)
+            at = stop
+        scale = norm[:, None] * self.size
+        return np.divide(out, scale, out=np.zeros_like(out), where=scale > 0)
+
+
+def _best_leaders(batches: Iterator[pa.RecordBatch], led: Leaders, k: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(leader, doc_id, sim) from (doc_id, tid, w) in order; a document's first row has its norm, with -1 as term."""
+    n = len(led.ids)
+
+    def closed(docs: np.ndarray, tids: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = np.append(np.flatnonzero(tids < 0), len(tids))
+        step = max(1, PRODUCTS // max(n, len(led.full), 1))
+        for first in range(0, len(heads) - 1 if n else 0, step):
+            head = heads[first : first + step + 1]
+            mine = slice(head[0], head[-1])
+            doc = np.repeat(np.arange(len(head) - 1), np.diff(head))
+            term = tids[mine] >= 0
+            sims = led.sims(doc[term], tids[mine][term], w[mine][term], w[head[:-1]])
+            rank = np.floor(sims * 1e9 + 0.5) * (1 if nearest else -1)
+            each = np.arange(len(sims))
+            for _ in range(min(k, n)):  # the first of equals is the one of the least id
+                best = rank.argmax(axis=1)
+                rank[each, best] = -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(led.ids[best]), pa.array(docs[head[:-1]]), pa.array(sims[each, best])], names=["leader", "doc_id", "sim"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    total = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(tuple(np.asarray(c) for c in batch.columns))
+        total += len(batch)
+        if total >= HELD_ROWS and (held[-1][1] < 0).any():
+            docs, tids, w = (np.concatenate(c) for c in zip(*held))
+            last = np.flatnonzero(tids < 0)[-1]
+            yield from closed(docs[:last], tids[:last], w[:last])
+            held, total = [(docs[last:], tids[last:], w[last:])], len(docs) - last
+    if held:
+        yield from closed(*(np.concatenate(c) for c in zip(*held)))
 
 
 def cluster_query(weights: DataFrame, leaders: DataFrame, followers: DataFrame, query_terms: list[str], k: int = QUERY_LEADERS, nearest: bool = True, repeats: bool = False, sims: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,9 @@
 """The search engine on hand-made fixtures."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -133,6 +137,32 @@ def test_cosine(spark):
     assert vector.cluster_query(w, led, follow, ["love"], repeats=True).count() == 8
 
 
+def test_followers_make_no_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, t, round(draw.random(), 2)) for i in range(60) for t in draw.sample("abcdefghijklmnopqrstuvwxyz", draw.randint(1, 9)) + ["usual"]] + [(60, "zz", 0.0), (None, "usual", 0.5)]
+    w = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    led = spark.createDataFrame([(i,) for i in range(0, 60, 7)], "doc_id long")
+    of = {}
+    for i, t, x in rows:
+        of.setdefault(i, {})[t] = x
+    norm = {i: sum(x * x for x in v.values()) ** 0.5 for i, v in of.items()}
+    sim = lambda a, b: sum(x * of[b].get(t, 0) for t, x in of[a].items()) / (norm[a] * norm[b]) if norm[a] else 0.0
+    size = spark.createDataFrame([*norm.items()], "doc_id long, norm double")
+    for sign in (1, -1):
+        found = vector.followers(w, led, nearest=sign > 0, size=size)
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        want = {(l, i): round(sim(i, l), 9) for i in range(61) if i % 7 or i > 59 for l in sorted(range(0, 60, 7), key=lambda l: (-sign * round(sim(i, l), 9), l))[:2]}
+        assert {(r.leader, r.doc_id): round(r.sim, 9) for r in found.collect()} == want
+    # the same in small parts
+    monkeypatch.setattr(vector, "PRODUCTS", 7), monkeypatch.setattr(vector, "HELD_ROWS", 5)
+    terms, lead = sorted({t for _, t, _ in rows}), [r for r in rows if r[0] is not None and r[0] % 7 == 0 and r[0] < 60]
+    held = vector.Leaders(np.arange(0, 60, 7), np.array([norm[i] for i in range(0, 60, 7)]), *(np.array(c) for c in ([r[0] for r in lead], [terms.index(r[1]) for r in lead], [r[2] for r in lead])), len(terms))
+    own = [r for i in range(60) if i % 7 for r in [(i, -1, norm[i])] + sorted((i, terms.index(t), x) for t, x in of[i].items())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own[k : k + 3])], names=["doc_id", "tid", "w"]) for k in range(0, len(own), 3)]
+    got = {(l, i): round(x, 9) for b in vector._best_leaders(batches, held, 2, False) for l, i, x in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == {k: x for k, x in want.items() if k[1] < 60}
+
+
 BOOK = """<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info>
 <author><first-name>Ann</first-name><last-name>Lee</last-name></author><author><nickname>zed</nickname></author>
 <book-title>Love</book-title></title-info></description><body><section><title><p>skipme</p></title>
