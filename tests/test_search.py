@@ -238,6 +238,35 @@ def test_gaps_over_segments(spark, monkeypatch):
 def test_lines_over_segments(spark, monkeypatch):
     monkeypatch.setattr(formats, "SEGMENT_DOCUMENTS", 10)
     p = spark.createDataFrame([("a", i) for i in (1, 2, 15)] + [("b", 30)], "term string, doc_id long")
+def test_files_of_odd_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "AT_ONCE", 2)
+    for name in ("a; isDirectory=true; length=9.txt", "b [1] %20.txt", "c\nd.txt", "é.txt", "k=1.txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "zz.bin").write_bytes(b"\xff")
+    for part in ("k=1", "sub"):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "inner.txt").write_text("inner")
+    names = sorted(p.name for p in tmp_path.iterdir() if p.is_file())
+    assert [x.rsplit("/")[-1] for x in files.listed(spark, str(tmp_path))] == names
+    good, bad = files.read_documents(spark, str(tmp_path))
+    assert [(r.doc_id, r.text) for r in good.orderBy("doc_id").collect()] == [(i, "" if n == "empty.txt" else n) for i, n in enumerate(n for n in names if n != "zz.bin")]
+    assert [r.name.rsplit("/")[-1] for r in bad.collect()] == ["zz.bin"]
+
+
+def test_a_listing_takes_few_calls(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").touch()
+    client = spark.sparkContext._gateway._gateway_client
+    sent, calls = client.send_command, []
+    client.send_command = lambda *a, **k: calls.append(a) or sent(*a, **k)
+    try:
+        assert len(files.listed(spark, str(tmp_path))) == 300
+    finally:
+        client.send_command = sent
+    assert len(calls) < 100
+
+
     lines = formats.index_lines(p)
     assert sorted(r.value for r in lines.collect()) == ["a:1,2", "a:15", "b:30"]
     assert index.same(formats.index_from_lines(lines), p)
