@@ -309,5 +309,10 @@ class Unset:
 def test_shared_folder():
     assert store.shared_folder(Unset("local[2]"))
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+def test_gaps_are_summed_in_one_pass(spark):
+    p = spark.createDataFrame([("a", i) for i in (1, 5, 9)], "term string, doc_id long")
+    assert "Join" not in codec.from_gaps(codec.gaps(p), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
         with pytest.raises(RuntimeError, match="checkpoint"):
             store.shared_folder(Unset(master))
