@@ -24,20 +24,25 @@ def timed(action: Callable[[], Any]) -> tuple[Any, float]:
 
 
 class Engine:
-    """Indexes of documents (doc_id, text), each built and stored when a mode first needs it."""
+    """Indexes of documents (doc_id, text), each built and stored when a mode first needs it.
+
+    Files of positions and pairs are segments: they hold the documents that a
+    task read, in order of terms, so that a search reads a few row groups of
+    each and building shuffles nothing.
+    """
 
     def __init__(self, documents: DataFrame) -> None:
         self.documents = documents
         self._made: dict[str, DataFrame] = {}
 
-    def _table(self, name: str, make: Callable[[], DataFrame], by: str | None = "term") -> DataFrame:
+    def _table(self, name: str, make: Callable[[], DataFrame], by: str | None = "term", placed: bool = False) -> DataFrame:
         if name not in self._made:
-            self._made[name] = stored(make(), name, by)
+            self._made[name] = stored(make(), name, by, placed)
         return self._made[name]
 
     @property
     def positional(self) -> DataFrame:
-        return self._table("positional", lambda: index.positional(index.tokens(self.documents)))
+        return self._table("positional", lambda: index.positional_of(self.documents), placed=True)
 
     @property
     def universe(self) -> DataFrame:
@@ -45,16 +50,16 @@ class Engine:
 
     @property
     def bitmaps(self) -> DataFrame:
-        return self._table("bitmaps", lambda: index.bitmaps(self.positional.select("term", "doc_id")))
+        return self._table("bitmaps", lambda: index.bitmaps(self.positional.select("term", "doc_id")), placed=True)
 
     @property
     def bigrams(self) -> DataFrame:
-        return self._table("bigrams", lambda: index.bigrams(self.documents), "w1")
+        return self._table("bigrams", lambda: index.bigrams(self.documents), "w1", placed=True)
 
     @property
     def space(self) -> vector.Space:
-        tf = self.positional.select("term", "doc_id", F.size("pos").cast("bigint").alias("cnt"))
-        return vector.Space(self._table("weights", lambda: vector.weights(tf)), lambda df, name: self._table(name, lambda: df, None))
+        tf = lambda: self._table("tf", lambda: index.frequencies_of(self.documents), None)
+        return vector.Space(self._table("weights", lambda: vector.weights(tf()), placed=True), lambda df, name: self._table(name, lambda: df, None))
 
     def search(self, text: str, mode: str = "positional") -> DataFrame:
         """doc_id of the documents that match, with pos in mode positional, and with sim of all in mode vector."""

@@ -28,8 +28,9 @@ class EmptyQuery(ValueError):
 
 
 def frequencies(tf: DataFrame) -> DataFrame:
-    """tf as share of the document's terms."""
-    return tf.join(document_lengths(tf), "doc_id").select("term", "doc_id", (F.col("cnt") / F.col("len")).alias("tf"))
+    """tf as share of the document's terms, by the column len if there is one."""
+    sized = tf.where("doc_id is not null") if "len" in tf.columns else tf.join(document_lengths(tf), "doc_id")
+    return sized.select("term", "doc_id", (F.col("cnt") / F.col("len")).alias("tf"))
 
 
 def idf(tf: DataFrame, n: int) -> DataFrame:
@@ -44,7 +45,8 @@ def document_count(tf: DataFrame) -> int:
 def weights(tf: DataFrame, n: int | None = None) -> DataFrame:
     """doc_id, term and w = tf * log2((N + 1) / (df + 1))."""
     n = document_count(tf) if n is None else n
-    return frequencies(tf).join(idf(tf, n), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # the terms of a partition are few beside its postings, which need no order for the join
+    return frequencies(tf).join(idf(tf, n).hint("shuffle_hash"), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 class Space:

@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from lexgrid.functions import text as T
 from lexgrid.operators import codec, engine, evaluate, index, vector, zones
 from lexgrid.plans.query import QueryError, holds_when_absent, parse
 from lexgrid.sources import files, formats, store
@@ -163,6 +165,49 @@ def test_followers_make_no_pairs(spark, monkeypatch):
     assert got == {k: x for k, x in want.items() if k[1] < 60}
 
 
+def test_documents_are_indexed_where_they_are_read(spark):
+    own = frame(spark, *DOCS, "", None, "it's Straße ΟΔΟΣ it's", "x" * 3)
+    for made in (index.positional_of, index.postings_of, index.frequencies_of, index.offsets, index.bigrams):
+        assert "Exchange" not in made(own)._jdf.queryExecution().executedPlan().toString(), made
+
+
+@pytest.mark.parametrize("repeated", [1 << 17, 0])
+def test_documents_of_one_id(spark, monkeypatch, repeated):
+    monkeypatch.setattr(index, "REPEATED", repeated)
+    d = spark.createDataFrame([*enumerate(DOCS), (1, "hello again hello"), (None, "a b a"), (None, "b c"), (9, ""), (10, None), (11, "Ünï ünï 5 ΟΔΟΣ"), (11, "ünï")], "doc_id long, text string")
+    t = index.tokens(d)
+    assert index.same(index.positional_of(d), index.positional(t))
+    assert index.same(index.postings_of(d), index.postings(t))
+    tf = index.frequencies_of(d)
+    assert index.same(tf.drop("len"), index.term_frequencies(t))
+    assert index.same(tf.select("doc_id", "len").distinct(), index.document_lengths(index.term_frequencies(t)))
+    assert index.bigrams(d).where("doc_id = 1").count() == 3 and index.bigrams(d).where("doc_id is null").count() == 3
+    ids = "doc_id in (0, 2, 3, 4, 5, 9, 10)"
+    assert index.same(index.offsets(d).where(ids), index.offsets(d.where(ids))) and index.offsets(d).where("doc_id is null").count() == 3
+    assert index.same(vector.weights(tf), vector.weights(tf.drop("len")))
+
+
+def test_bits_are_dealt_before_they_are_put_together(spark):
+    p = spark.createDataFrame([("a", 0), ("a", 40000), ("b", 1), ("c", 70000)], "term string, doc_id long")
+    u = p.select("doc_id").distinct()
+    for made in (index.bitmaps(p), index.merged_bitmaps(index.bitmaps(p), index.bitmaps(p))):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():  # no piece of 4 KB is shuffled or sorted
+            assert "Exchange" not in line or "REPARTITION_BY_COL" in line, line
+    parts = [index.bitmaps(p.where(f"doc_id % 3 = {k}")) for k in range(3)]
+    merged = index.merged_bitmaps(*parts)
+    assert index.same(merged, index.bitmaps(p))
+    for text, want in {"a": {0, 40000}, "!a": {1, 70000}, "!zz": {0, 1, 40000, 70000}, "!a & !b": {70000}}.items():
+        for universe in (None, u):
+            assert {r.doc_id for r in evaluate.bitmap_matching(merged, text, universe).collect()} == want, text
+
+
+@pytest.mark.parametrize("n, code", [(0, "80"), (5, "85"), (300, "02ac"), (1 << 56, "010000000000000080"), ((1 << 63) - 1, "7f" * 8 + "ff"), (None, None)])
+def test_number_codes(spark, n, code):
+    r = spark.createDataFrame([(n,)], "n long").select(T.vb_hex(F.col("n")).alias("h"), T.vb_number(T.vb_hex(F.col("n"))).alias("n")).first()
+    assert (r.h, r.n) == (code, n)
+
+
 BOOK = """<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info>
 <author><first-name>Ann</first-name><last-name>Lee</last-name></author><author><nickname>zed</nickname></author>
 <book-title>Love</book-title></title-info></description><body><section><title><p>skipme</p></title>
@@ -193,6 +238,35 @@ def test_files(spark, tmp_path):
     assert files.corpus_size(good).first().bytes == 12
 
 
+def test_files_of_odd_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "AT_ONCE", 2)
+    for name in ("a; isDirectory=true; length=9.txt", "b [1] %20.txt", "c\nd.txt", "é.txt", "k=1.txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "zz.bin").write_bytes(b"\xff")
+    for part in ("k=1", "sub"):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "inner.txt").write_text("inner")
+    names = sorted(p.name for p in tmp_path.iterdir() if p.is_file())
+    assert [x.rsplit("/")[-1] for x in files.listed(spark, str(tmp_path))] == names
+    good, bad = files.read_documents(spark, str(tmp_path))
+    assert [(r.doc_id, r.text) for r in good.orderBy("doc_id").collect()] == [(i, "" if n == "empty.txt" else n) for i, n in enumerate(n for n in names if n != "zz.bin")]
+    assert [r.name.rsplit("/")[-1] for r in bad.collect()] == ["zz.bin"]
+
+
+def test_a_listing_takes_few_calls(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").touch()
+    client = spark.sparkContext._gateway._gateway_client
+    sent, calls = client.send_command, []
+    client.send_command = lambda *a, **k: calls.append(a) or sent(*a, **k)
+    try:
+        assert len(files.listed(spark, str(tmp_path))) == 300
+    finally:
+        client.send_command = sent
+    assert len(calls) < 100
+
+
 def test_formats(spark, tmp_path):
     words = spark.createDataFrame([("a", 2), ("b'c", 5), ("é", 1)], "term string, cnt long")
     for i, storage in enumerate((formats.KeyValueStorage(), formats.JsonStorage())):
@@ -235,38 +309,14 @@ def test_gaps_over_segments(spark, monkeypatch):
     assert index.same(codec.from_gaps(codec.gaps(p), "doc_id"), p)
 
 
+def test_gaps_are_summed_in_one_pass(spark):
+    p = spark.createDataFrame([("a", i) for i in (1, 5, 9)], "term string, doc_id long")
+    assert "Join" not in codec.from_gaps(codec.gaps(p), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lines_over_segments(spark, monkeypatch):
     monkeypatch.setattr(formats, "SEGMENT_DOCUMENTS", 10)
     p = spark.createDataFrame([("a", i) for i in (1, 2, 15)] + [("b", 30)], "term string, doc_id long")
-def test_files_of_odd_names(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "AT_ONCE", 2)
-    for name in ("a; isDirectory=true; length=9.txt", "b [1] %20.txt", "c\nd.txt", "é.txt", "k=1.txt"):
-        (tmp_path / name).write_text(name)
-    (tmp_path / "empty.txt").write_text("")
-    (tmp_path / "zz.bin").write_bytes(b"\xff")
-    for part in ("k=1", "sub"):
-        (tmp_path / part).mkdir()
-        (tmp_path / part / "inner.txt").write_text("inner")
-    names = sorted(p.name for p in tmp_path.iterdir() if p.is_file())
-    assert [x.rsplit("/")[-1] for x in files.listed(spark, str(tmp_path))] == names
-    good, bad = files.read_documents(spark, str(tmp_path))
-    assert [(r.doc_id, r.text) for r in good.orderBy("doc_id").collect()] == [(i, "" if n == "empty.txt" else n) for i, n in enumerate(n for n in names if n != "zz.bin")]
-    assert [r.name.rsplit("/")[-1] for r in bad.collect()] == ["zz.bin"]
-
-
-def test_a_listing_takes_few_calls(spark, tmp_path):
-    for i in range(300):
-        (tmp_path / f"{i}.txt").touch()
-    client = spark.sparkContext._gateway._gateway_client
-    sent, calls = client.send_command, []
-    client.send_command = lambda *a, **k: calls.append(a) or sent(*a, **k)
-    try:
-        assert len(files.listed(spark, str(tmp_path))) == 300
-    finally:
-        client.send_command = sent
-    assert len(calls) < 100
-
-
     lines = formats.index_lines(p)
     assert sorted(r.value for r in lines.collect()) == ["a:1,2", "a:15", "b:30"]
     assert index.same(formats.index_from_lines(lines), p)
@@ -309,10 +359,5 @@ class Unset:
 def test_shared_folder():
     assert store.shared_folder(Unset("local[2]"))
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
-def test_gaps_are_summed_in_one_pass(spark):
-    p = spark.createDataFrame([("a", i) for i in (1, 5, 9)], "term string, doc_id long")
-    assert "Join" not in codec.from_gaps(codec.gaps(p), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
-
-
         with pytest.raises(RuntimeError, match="checkpoint"):
             store.shared_folder(Unset(master))
